@@ -88,7 +88,8 @@ def fitted(votes: DataFrame, iterations: int = 20, tolerance: float = 1e-4) -> d
     """Accuracies by expectation-maximisation over all rows that pass the base rule; bounded to 0.55..0.99, so that a rule
     never counts against its own meaning."""
     names = [f"v_{name}" for name in RULES]
-    patterns = cut(votes.filter(~F.col("q_base_failed")).groupBy(names).agg(F.count("*").alias("n")).coalesce(1))
+    patterns = votes.groupBy("q_base_failed", *names).agg(F.count("*").alias("n"))
+    patterns = cut(patterns.coalesce(1)).filter(~F.col("q_base_failed"))
     model = {"prior": 0.8, "good": dict.fromkeys(RULES, 0.8), "bad": dict.fromkeys(RULES, 0.7)}
     bounded = lambda x: min(0.99, max(0.55, x))
     for _ in range(iterations):
@@ -126,7 +127,9 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. Votes are small; texts are judged again rather than stored a second time."""
-    votes = voted(measured(docs))
-    model = fitted(votes)
-    return judged(votes, model).filter("q_kept").select(docs.columns)
+    """The rows of docs that the rules keep. Votes are small; texts are judged again rather than stored a second time.
+
+    The row number keeps the optimizer from writing the counts' expressions into the filter, once for each use."""
+    votes = voted(measured(docs)).withColumn("q_row", F.monotonically_increasing_id())
+    model = fitted(voted(measured(docs)))
+    return judged(votes, model).filter("q_kept and q_row >= 0").select(docs.columns)
