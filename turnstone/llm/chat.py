@@ -21,7 +21,7 @@ def rotated(turns: DataFrame, block: int = 256) -> DataFrame:
     """conv_id, perspective, block, first_char, n_turns, rendered, mask ("start-end,..." in the block)."""
     turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     inside = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    ranked = turns.withColumn("at", F.row_number().over(inside) - 1).withColumn("block", F.floor(F.col("at") / block))
+    ranked = turns.withColumn("at", F.row_number().over(inside) - 1).withColumn("block", F.floor(F.col("at") / block).cast("long"))
     blocks = ranked.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
     speakers = turns.select("conv_id", F.col("role").alias("perspective")).distinct()
     both = blocks.join(speakers.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
@@ -33,7 +33,7 @@ def rotated(turns: DataFrame, block: int = 256) -> DataFrame:
     step = lambda acc, x: F.struct((acc["at"] + F.length(x["s"])).alias("at"), F.when(x["own"], F.concat(acc["out"], F.array(F.concat_ws("-", (acc["at"] + x["h"]).cast("string"), (acc["at"] + x["h"] + x["n"]).cast("string"))))).otherwise(acc["out"]).alias("out"))
     both = both.withColumn("mask", F.array_join(F.aggregate("pieces", start, step, lambda acc: acc["out"]), ","))
     before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("conv_id", "perspective", "block", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)).alias("first_char"), F.size("turns").alias("n_turns"), "rendered", "mask")
+    return both.select("conv_id", "perspective", "block", F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)).cast("long").alias("first_char"), F.size("turns").alias("n_turns"), "rendered", "mask")
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:

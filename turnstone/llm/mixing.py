@@ -63,7 +63,7 @@ def copies(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0)
 
 
 def text_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("text"), F.col("doc_id"))
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

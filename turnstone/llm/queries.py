@@ -18,5 +18,30 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_simhash, op2_media, op3_quality, op4_sentencepiece, op5_chat, op6_licenses, op7_mixing, op8_urls, op9_html, op10_secrets)}
 
 
+OP5 = """with r as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
+        row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) - 1 as k from conversations),
+    p as (select distinct conv_id, role as perspective from r),
+    s as (select r.conv_id, perspective, k, k // 256 as block, role = perspective as own, text,
+        '<|im_start|>' || case when role = perspective then 'assistant' else 'user name=' || role end || chr(10) as head
+        from r join p on r.conv_id is not distinct from p.conv_id),
+    t as (select *, head || text || '<|im_end|>' || chr(10) as piece from s),
+    u as (select *, coalesce(sum(length(piece)) over (partition by conv_id, perspective, block order by k rows between unbounded preceding and 1 preceding), 0) + length(head) as a from t),
+    b as (select conv_id, perspective, block, count(*) as n_turns, string_agg(piece, '' order by k) as rendered,
+        coalesce(string_agg(case when own then cast(cast(a as bigint) as varchar) || '-' || cast(cast(a as bigint) + length(text) as varchar) end, ',' order by k), '') as mask from u group by all)
+    select conv_id, perspective, block, cast(coalesce(sum(length(rendered)) over (partition by conv_id, perspective order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as first_char,
+        cast(n_turns as integer) as n_turns, rendered, mask from b"""
+
+OP7 = r"""with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size, md5(concat_ws(':', cast(doc_id as varchar), text)) as h from documents),
+    s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+    w as (select *, [3.0, 1.0, 2.0][cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)]::double as w, 2.0::double * source_size as top from s),
+    l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(top) over (order by top / w, source nulls last rows between unbounded preceding and 1 preceding), 0))
+        / sum(w) over (order by top / w, source nulls last rows between current row and unbounded following) as level from w),
+    c as (select min_by(level, top / w) filter (top / w > level) as level from l),
+    g as (select source, source_size, least(top, coalesce((select level from c) * w, top)) as target, ('0x' || substr(md5('7:' || coalesce(source, chr(0))), 1, 8))::bigint / 4294967296.0::double as u from w),
+    k as (select d.doc_id, size, source_size, target, u, case when source_size > 0 then target / source_size else 0.0 end as e,
+        row_number() over (partition by d.source order by size desc, h, doc_id nulls first) - 1 as pos from d join g on d.source is not distinct from g.source)
+    select doc_id, size, source_size, target, cast(size * least(floor((pos + 1) * e + u) - floor(pos * e + u), 2) as bigint) as taken from k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat": OP5, "op7_mixing": OP7}
