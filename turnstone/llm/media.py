@@ -120,7 +120,7 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, path = filesystem(self.folder)
-        found = [f for f in store.get_file_info(pafs.FileSelector(path)) if f.path.endswith(".zip")]
+        found = [f for f in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".zip")]
         return [ByteRange(f.path, at, min(f.size, at + self.range_bytes)) for f in sorted(found, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)] or [ByteRange("", 0, 0)]
 
     def member(self, store: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> bytes:
