@@ -378,3 +378,85 @@ def benchmark_contamination(spark, sf_dir):
     wanted = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(heads)).alias("head")).join(items.select("head").distinct(), "head", "left_semi").join(items.drop("item"), "head").select("doc_id", "item_id").distinct()
     hits = wanted.join(docs, "doc_id").join(items.select("item_id", "item"), "item_id").filter(F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+# --- operators that SQL can't express ---
+
+
+def vocabulary(spark, sf_dir):
+    from .operators import bpe
+
+    texts = table(spark, sf_dir, "conversations").select(T.clean(F.col("text")).alias("text"))
+    return bpe.learn(texts, "text", size=1000)
+
+
+@query()
+def bpe_vocab(spark, sf_dir):
+    model = vocabulary(spark, sf_dir)
+    return spark.createDataFrame(list(enumerate(model.pieces)), "id long, piece string")
+
+
+@query()
+def bpe_encode(spark, sf_dir):
+    from .operators import bpe
+
+    model = vocabulary(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("text"))
+    return bpe.encoded(rows, model, "text", "doc_id").select("doc_id", F.size("ids").alias("n_ids"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")).alias("ids_md5"))
+
+
+@query()
+def word2vec_vectors(spark, sf_dir):
+    from .operators import bpe
+
+    rows = table(spark, sf_dir, "conversations").select(T.tokens(T.clean(F.col("text"))).alias("w"))
+    vec = bpe.word_vectors(rows, "w", dim=16, epochs=1)
+    return vec.select("piece", F.size("vec").alias("dim"))
+
+
+@query()
+def stream_session_window(spark, sf_dir):
+    """The stream of events run to its end; what the closed sessions hold."""
+    import uuid
+
+    from .streaming import sessions
+
+    name = f"sessions_{uuid.uuid4().hex}"
+    out = sessions.session_counts(sessions.event_stream(spark, sf_dir), "12 hours")
+    run = out.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def stage_rows(spark, sf_dir):
+    return dialogue.shape(turns(spark, sf_dir)).groupBy(dialogue.reason().alias("metric")).agg(F.count("*").cast("double").alias("value"))
+
+
+@query(SHAPE + "select 'filter' as stage, reason as metric, cast(count(*) as double) as value from r group by reason")
+def stage_stats_long(spark, sf_dir):
+    return stage_rows(spark, sf_dir).select(F.lit("filter").alias("stage"), "metric", "value")
+
+
+@query("with s as (select e.user_id id, e.event_id, e.value, row_number() over (partition by user_id order by event_id) r from events e), p as (select *, min(value) over (partition by id order by r rows between unbounded preceding and 1 preceding) b from s), i as (select *, b is null or value < b improved from p) select id, r as epoch, improved, r - max(case when improved or r <= 5 then r end) over (partition by id order by r) as since from i")
+def early_stopping(spark, sf_dir):
+    from .operators import decoding
+
+    epoch = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    h = table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), epoch.alias("epoch"), F.col("value").alias("val_loss"))
+    return decoding.early_stop(h).select(F.col("model").alias("id"), "epoch", "improved", "since")
+
+
+@query("with e as (select vec_id, list_transform(embedding, lambda x: exp(cast(x as double) - list_max(embedding))) e from embeddings) select vec_id, round(list_max(e) / list_sum(e), 6) top_p, round(-list_sum(list_transform(e, lambda x: x / list_sum(e) * ln(x / list_sum(e)))), 5) entropy from e")
+def softmax_top(spark, sf_dir):
+    p = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    top = p.select("vec_id", F.transform("v", lambda x: F.exp(x - F.array_max("v"))).alias("e")).select("vec_id", "e", A.total(F.col("e")).alias("t"))
+    return top.select("vec_id", F.round(F.array_max("e") / F.col("t"), 6).alias("top_p"), F.round(-F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x / F.col("t") * F.log(x / F.col("t"))), 5).alias("entropy"))
+
+
+CONF = "(select vec_id, list_transform(embedding, lambda x: abs(cast(x as double))) c from embeddings)"
+
+
+@query(f"select vec_id, round(exp(-list_avg(list_transform(c, lambda x: ln(greatest(x, 1e-10))))), 2) perplexity, len(list_filter(c, lambda x: x < 0.4)) low, len(list_filter(c, lambda x: x >= 0.4 and x < 0.6)) medium, len(list_filter(c, lambda x: x >= 0.6 and x < 0.8)) good, len(list_filter(c, lambda x: x >= 0.8)) high from {CONF}")
+def confidence_analysis(spark, sf_dir):
+    c = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("c"))
+    return c.select("vec_id", metrics.confidence(F.col("c")).alias("m")).select("vec_id", "m.*")

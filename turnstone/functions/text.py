@@ -115,8 +115,9 @@ def is_question(ctx: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """timestamp_ntz of the four accepted forms; null for others."""
-    kinds = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]'Z'", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]", "yyyy-MM-dd HH:mm")
-    return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(k)) for k in kinds]).cast("timestamp_ntz")
+    fraction = "".join(f"[.{'S' * n}]" for n in range(6, 0, -1))
+    kinds = (f"yyyy-MM-dd'T'HH:mm:ss{fraction}'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(k)) for k in kinds]).cast("timestamp_ntz")
 
 
 def mask_speakers(text: Column, names: Column) -> Column:
