@@ -1,8 +1,8 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the table of vote patterns and their
-counts, which has at most 3 ** len(RULES) rows whatever the corpus, estimates each rule's accuracies on good and on bad
-documents and the share of good ones; a document's posterior probability decides. The base rule (too few words, too much
+counts, which has at most 3 ** len(RULES) rows whatever the corpus, estimates how often each rule votes good, bad or not at all
+on good and on bad documents, and the share of good ones; a document's posterior probability decides. The base rule (too few words, too much
 repetition) rejects before that.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows get equal verdicts; windows of
@@ -19,6 +19,7 @@ from .common import cut, words
 
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def three(good: Column, bad: Column) -> Column:
@@ -29,7 +30,10 @@ def three(good: Column, bad: Column) -> Column:
 RULES = {
     "length": lambda c: three(c("n_words") >= 50, c("n_words") < 25),
     "word_length": lambda c: three((c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 10 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 16 * c("n_words"))),
-    "symbols": lambda c: three(50 * c("n_symbols") <= c("n_words"), 2 * c("n_symbols") > c("n_words")),
+    "symbols": lambda c: three(50 * c("n_symbols") <= c("n_words"), 5 * c("n_symbols") > c("n_words")),
+    "marks_share": lambda c: three(25 * c("n_punct") <= c("word_chars"), 14 * c("n_punct") > c("word_chars")),
+    "symbol_runs": lambda c: three(50 * c("n_runs") <= c("n_words"), 4 * c("n_runs") > c("n_words")),
+    "bare_symbols": lambda c: three(50 * c("n_bare") <= c("n_words"), 5 * c("n_bare") > c("n_words")),
     "lines": lambda c: three((c("n_dup_lines") == 0) & (c("n_lines") >= 2), (4 * c("n_dup_lines") > c("n_lines")) & (c("n_lines") >= 3)),
     "repetition": lambda c: three(50 * c("n_repeat_words") <= c("n_words"), 5 * c("n_repeat_words") > c("n_words")),
     "variety": lambda c: three(2 * c("n_distinct") >= c("n_words"), 5 * c("n_distinct") < c("n_words")),
@@ -45,6 +49,8 @@ def removed(text: Column, characters: str) -> Column:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the counts that rules use, under names with the prefix q_."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    symbols = F.translate(text, "*$%&|<>", "#######")
+    times = lambda s: ((F.length(symbols) - F.length(F.replace(symbols, F.lit(s), F.lit("")))) / len(s)).cast("long")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     m = F.size("q_words") - (WINDOW - 1)
     df = docs.withColumns({"q_words": words(F.col(text_col)), "q_lines": lines})
@@ -61,6 +67,9 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "q_n_words": F.size("q_words").cast("long"),
         "q_word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
         "q_n_symbols": removed(text, "#*$%&|<>").cast("long"),
+        "q_n_punct": removed(text, PUNCTUATION).cast("long"),
+        "q_n_runs": times("##"),
+        "q_n_bare": times(" # "),
         "q_n_lines": F.size("q_lines").cast("long"),
         "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_n_repeat_words": F.when(F.col("q_pairs").isNotNull(), covered).otherwise(0).cast("long"),
@@ -79,33 +88,44 @@ def voted(df: DataFrame) -> DataFrame:
 def posterior(model: dict) -> Column:
     odds = F.lit(model["prior"] / (1 - model["prior"]))
     for name in RULES:
-        a, b = model["good"][name], model["bad"][name]
-        odds = odds * F.when(F.col(f"v_{name}") == 1, a / (1 - b)).when(F.col(f"v_{name}") == -1, (1 - a) / b).otherwise(1.0)
+        ratio = {v: model["good"][name][v] / model["bad"][name][v] for v in VOTES}
+        odds = odds * F.when(F.col(f"v_{name}") == 1, ratio[1]).when(F.col(f"v_{name}") == -1, ratio[-1]).otherwise(ratio[0])
     return odds / (1 + odds)
 
 
+VOTES = (1, 0, -1)
+
+
+def meant(good: dict, bad: dict) -> tuple[dict, dict]:
+    """A vote never counts against its own meaning, and an abstention for nothing."""
+    good, bad = dict(good), dict(bad)
+    if good[1] < bad[1]:
+        good[1] = bad[1] = (good[1] + bad[1]) / 2
+    if bad[-1] < good[-1]:
+        good[-1] = bad[-1] = (good[-1] + bad[-1]) / 2
+    good[0] = bad[0] = 1.0
+    return good, bad
+
+
 def fitted(votes: DataFrame, iterations: int = 20, tolerance: float = 1e-4) -> dict:
-    """Accuracies by expectation-maximisation over all rows that pass the base rule; bounded to 0.55..0.99, so that a rule
-    never counts against its own meaning."""
+    """Vote frequencies by expectation-maximisation over all rows that pass the base rule."""
     names = [f"v_{name}" for name in RULES]
     patterns = votes.groupBy("q_base_failed", *names).agg(F.count("*").alias("n"))
     patterns = cut(patterns.coalesce(1)).filter(~F.col("q_base_failed"))
-    model = {"prior": 0.8, "good": dict.fromkeys(RULES, 0.8), "bad": dict.fromkeys(RULES, 0.7)}
-    bounded = lambda x: min(0.99, max(0.55, x))
+    start = {1: 0.7, 0: 1.0, -1: 0.05}, {1: 0.4, 0: 1.0, -1: 0.3}
+    model = {"prior": 0.8, "good": {r: start[0] for r in RULES}, "bad": {r: start[1] for r in RULES}}
     for _ in range(iterations):
         p, n = posterior(model), F.col("n")
         sums = [F.sum(p * n).alias("p"), F.sum(n).alias("n")]
-        for name in RULES:
-            v = F.col(f"v_{name}")
-            sums += [F.sum(F.when(v == s, w * n).otherwise(0.0)).alias(f"{k}{name}") for k, s, w in (("gg", 1, p), ("gb", -1, p), ("bg", 1, 1 - p), ("bb", -1, 1 - p))]
+        sums += [F.sum(F.when(F.col(f"v_{r}") == v, w * n).otherwise(0.0)).alias(f"{k}{v}{r}") for r in RULES for v in VOTES for k, w in (("g", p), ("b", 1 - p))]
         got = patterns.agg(*sums).first()
         if not got["n"]:
             break
-        new = {"prior": min(0.98, max(0.02, got["p"] / got["n"])), "good": {}, "bad": {}}
-        for name in RULES:  # one pseudo-vote a cell
-            new["good"][name] = bounded((got[f"gg{name}"] + 1) / (got[f"gg{name}"] + got[f"gb{name}"] + 2))
-            new["bad"][name] = bounded((got[f"bb{name}"] + 1) / (got[f"bb{name}"] + got[f"bg{name}"] + 2))
-        moved = max(abs(new[k][r] - model[k][r]) for k in ("good", "bad") for r in RULES)
+        new = {"prior": min(0.98, max(0.5, got["p"] / got["n"])), "good": {}, "bad": {}}
+        share = lambda k, r: {v: (got[f"{k}{v}{r}"] + 1) / (sum(got[f"{k}{x}{r}"] for x in VOTES) + 3) for v in VOTES}  # noqa: E731  one pseudo-vote a cell
+        for r in RULES:
+            new["good"][r], new["bad"][r] = meant(share("g", r), share("b", r))
+        moved = max(abs(new[k][r][v] - model[k][r][v]) for k in ("good", "bad") for r in RULES for v in VOTES)
         model = new
         if moved < tolerance:
             break
