@@ -460,3 +460,43 @@ CONF = "(select vec_id, list_transform(embedding, lambda x: abs(cast(x as double
 def confidence_analysis(spark, sf_dir):
     c = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("c"))
     return c.select("vec_id", metrics.confidence(F.col("c")).alias("m")).select("vec_id", "m.*")
+
+
+@query(CLEAN_FRAMED + f"select id, pos, {ECHO} is_echo, {BOT} is_bot, regexp_matches(resp, {quoted(fixed.PLACEHOLDERS)}) is_placeholder from p")
+def echo_pairs(spark, sf_dir):
+    ctx, resp = F.col("ctx"), F.col("resp")
+    return clean_pairs(spark, sf_dir).select("id", "pos", T.is_echo(ctx, resp).alias("is_echo"), T.is_bot_response(resp).alias("is_bot"), T.is_placeholder_only(resp).alias("is_placeholder"))
+
+
+@query(CLEAN_FRAMED + f"select id, pos, {INCOHERENT} incoherent, len({CONTENT('resp')}) n_content from p")
+def coherence_filter(spark, sf_dir):
+    df = clean_pairs(spark, sf_dir)
+    return df.select("id", "pos", T.is_incoherent(F.col("ctx"), F.col("resp")).alias("incoherent"), F.size(T.content_words(F.col("resp"))).cast("long").alias("n_content"))
+
+
+@query("select source, count(case when lang = 'en' then 1 end) en, count(case when lang = 'fr' then 1 end) fr, count(case when lang = 'de' then 1 end) de, count(case when lang = 'es' then 1 end) es from documents group by source")
+def source_by_lang(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").groupBy("source").pivot("lang", ["en", "fr", "de", "es"]).agg(F.count(F.lit(1)))
+    return df.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("en", "fr", "de", "es")])
+
+
+@query("select metric, value from (select cast(count(*) as double) n_rows, cast(sum(n_chars) as double) n_chars, cast(max(n_chars) as double) longest from documents) unpivot (value for metric in (n_rows, n_chars, longest))")
+def metrics_long(spark, sf_dir):
+    from .sources import sinks
+
+    row = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.max("n_chars").alias("longest"))
+    return sinks.long_metrics(row, "documents").drop("section")
+
+
+@query("with v as (select item_id id, text piece from benchmark), m as (select v.id, v.piece, e.embedding from v left join embeddings e on v.id = e.vec_id) select id, case when id = 0 or embedding is null then 0.0 else round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 4) end norm from m")
+def embedding_matrix(spark, sf_dir):
+    vocab = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").cast("string").alias("piece"))
+    vec = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("piece"), F.col("embedding").alias("vec"))
+    return vectors.matrix(vocab, vec, 64).select("id", F.round(A.norm(F.col("vec")), 4).alias("norm"))
+
+
+@query(f"select h.conv_id sample_id, coalesce(len({WORDS('h.text')}), 0) hyp_words, coalesce(len({WORDS('r.text')}), 0) ref_words from (select conv_id, text from conversations where turn = 1) h full outer join (select conv_id, text from conversations where turn = 2) r using (conv_id)".replace("h.conv_id sample_id", "coalesce(h.conv_id, r.conv_id) sample_id"))
+def side_by_side(spark, sf_dir):
+    at = lambda k, name: table(spark, sf_dir, "conversations").filter(F.col("turn") == k).select(F.col("conv_id").alias("sample_id"), T.n_words(F.col("text")).alias(name))
+    df = at(1, "hyp_words").join(at(2, "ref_words"), "sample_id", "full_outer")
+    return df.select("sample_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("hyp_words", "ref_words")])
