@@ -69,8 +69,8 @@ def test_simhash_equals_brute_force(spark, docs):
         assert got[r["doc_id"]]["component_id"] == want[x]
 
 
-@pytest.mark.parametrize("limit", [50_000, 3])
-def test_trie_links_give_brute_force_components(spark, limit):
+@pytest.mark.parametrize(("limit", "exact"), [(50_000, None), (3, 1), (50_000, 2), (3, 2), (50_000, 3)])
+def test_trie_links_give_brute_force_components(spark, limit, exact):
     rng = np.random.default_rng(5)
     fps = set()
     for base in rng.integers(0, 2**64, 12, dtype=np.uint64).tolist() + [0, 2**64 - 1]:
@@ -79,7 +79,7 @@ def test_trie_links_give_brute_force_components(spark, limit):
     fps = sorted(fps)
     roots = slow_components(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), node_limit=limit)
+    links = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), node_limit=limit, exact=exact)
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
     groups = lambda keys: sorted(sorted(g) for g in keys.values())
     a, b = {}, {}

@@ -2,9 +2,10 @@
 
 Fingerprints are distinct 64-bit keys of a binary trie. The join walks pairs of trie nodes together, adds up the bits in
 which their paths differ, and drops a pair of nodes once more than the budget differ. Two keys with at most k differing
-bits agree on at least one of k+1 blocks, so k+1 rotated tries are walked, each from the nodes below its leading block:
-these nodes are the unit of distribution. A node with more keys than `node_limit` is first opened further, as node pairs in
-a table, so that no task holds an unbounded node. Tasks emit a spanning forest of their links, which keeps every link's
+bits agree on at least e of k+e blocks, so a trie is walked for every choice of e blocks as the leading ones, from the nodes
+below these: such nodes are the unit of distribution. e grows with the number of keys (1 up to some 80 million, then 5 tries;
+2 up to some 20 billion, then 15), so that nodes stay small; any e finds the same links. A node with more keys than
+`node_limit` is first opened further, as node pairs in a table, so that no task holds an unbounded node. Tasks emit a spanning forest of their links, which keeps every link's
 effect on components without listing all pairs of a dense group.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero; repeated rows share a class; a
@@ -15,6 +16,7 @@ other columns of the input are ignored by `components` and kept by `keep_one_per
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -144,8 +146,34 @@ def forest(keys: np.ndarray, groups: list[tuple[int, int, int, int, int, int]],
     return out
 
 
-def rotated(fp, by: int):
-    return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, BITS - by))
+def layouts(budget: int, exact: int) -> list[list[tuple[int, int, int]]]:
+    """For every choice of leading blocks: (place in the fingerprint, place in the key, width) of each block, from the right."""
+    n = budget + exact
+    cuts = [BITS * i // n for i in range(n + 1)]
+    out = []
+    for lead in combinations(range(n), exact):
+        at, moves = BITS, []
+        for i in [*lead, *(i for i in range(n) if i not in lead)]:
+            width = cuts[i + 1] - cuts[i]
+            at -= width
+            moves.append((cuts[i], at, width))
+        out.append(moves)
+    return out
+
+
+def arranged(fp, moves: list[tuple[int, int, int]]):
+    """fp with its blocks moved."""
+    key = F.lit(0).cast("long")
+    for source, target, width in moves:
+        key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, source).bitwiseAND(F.lit((1 << width) - 1)), target))
+    return key
+
+
+def restored(keys: np.ndarray, moves: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.zeros(len(keys), np.uint64)
+    for source, target, width in moves:
+        out |= ((keys >> np.uint64(target)) & np.uint64((1 << width) - 1)) << np.uint64(source)
+    return out
 
 
 def prefix(key, depth: int):
@@ -153,12 +181,15 @@ def prefix(key, depth: int):
     return F.shiftrightunsigned(key, BITS - depth)
 
 
-def links(classes: DataFrame, budget: int = 4, node_limit: int = 50_000) -> DataFrame:
+def links(classes: DataFrame, budget: int = 4, node_limit: int = 50_000, exact: int | None = None) -> DataFrame:
     """(u, v): a spanning forest of the pairs of distinct `fp` within the budget, from each trie node pair."""
-    blocks = budget + 1
-    offsets = [BITS * i // blocks for i in range(blocks)]
-    first = BITS // blocks
-    keyed = classes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("rot"), rotated(F.col("fp"), o).alias("key")) for i, o in enumerate(offsets)])).alias("x")).select("x.*")
+    if exact is None:
+        n, exact = classes.count(), 1
+        while n >> (exact * BITS // (budget + exact)) > 20_000:
+            exact += 1
+    orders = layouts(budget, exact)
+    first = min(sum(width for _, _, width in moves[:exact]) for moves in orders)
+    keyed = classes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("rot"), arranged(F.col("fp"), m).alias("key")) for i, m in enumerate(orders)])).alias("x")).select("x.*")
     keyed = keyed.withColumn("a", prefix(F.col("key"), first))
     sizes = keyed.groupBy("rot", "a").count()
     large = cut(sizes.filter(F.col("count") > node_limit).select("rot", "a"))
@@ -200,9 +231,10 @@ def links(classes: DataFrame, budget: int = 4, node_limit: int = 50_000) -> Data
             node_pairs = np.stack([lo, np.where(own, hi, mid), np.where(own, lo, mid), hi, rows[lo, 2], rows[lo, 5]], 1)
             node_pairs = node_pairs[(node_pairs[:, 0] < node_pairs[:, 1]) & (node_pairs[:, 2] < node_pairs[:, 3]) & (hi - lo > 1)]
             found = np.array(forest(keys, node_pairs.tolist(), budget), dtype=np.int64).reshape(-1, 2)
-            by = np.array(offsets, dtype=np.uint64)[rot[found[:, 0]]] if len(found) else np.zeros(0, np.uint64)
-            back = lambda k: np.where(by == 0, k, (k >> by) | (k << ((np.uint64(BITS) - by) % np.uint64(BITS)))).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(back(keys[found[:, 0]])), pa.array(back(keys[found[:, 1]]))], names=["u", "v"])
+            u, v, of = keys[found[:, 0]], keys[found[:, 1]], rot[found[:, 0]]
+            for i in np.unique(of):
+                u[of == i], v[of == i] = restored(u[of == i], orders[i]), restored(v[of == i], orders[i])
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
             held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)], 1))
