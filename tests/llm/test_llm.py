@@ -19,7 +19,7 @@ ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "x y z", "en",
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({"h": F.lit(1), "a": F.lit(2), "size": F.lit(3), "n": F.lit("x")})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({"h": F.lit(1), "a": F.lit(2), "size": F.lit(3), "n": F.lit("x"), "t": F.lit(4), "k": F.lit(5), "part": F.lit(6), "copies": F.lit(7), "kept": F.lit(8), "component_id": F.lit(9)})
 
 
 @pytest.fixture(scope="module")

@@ -76,15 +76,16 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Rows with equal id, text and source share their copies evenly, and one of them gets the rest."""
     key = ["doc_id", "h", "source"]
-    n = cut(copies(docs, seed).groupBy(key).agg(F.sum("copies").alias("t"), F.count("*").alias("k")))
-    n = n.select(*[F.col(c).alias(f"c_{c}") for c in key], "t", "k")
-    marked = docs.withColumn("h__", text_hash(docs))
-    found = marked.join(n, marked["doc_id"].eqNullSafe(F.col("c_doc_id")) & (F.col("h__") == F.col("c_h")) & marked["source"].eqNullSafe(F.col("c_source")))
-    repeated = lambda df, count: df.filter(count > 0).withColumn("i__", F.explode(F.sequence(F.lit(1), count))).select(docs.columns)
-    even = repeated(found, F.floor(F.col("t") / F.col("k")))
-    rest = found.filter(F.pmod("t", "k") > 0).groupBy("c_doc_id", "c_h", "c_source", "t", "k").agg(*[F.first(F.struct(F.col(f"`{c}`"))).alias(f"f{i}") for i, c in enumerate(docs.columns)])
-    rest = rest.select(*[F.col(f"f{i}").getField(c).alias(c) for i, c in enumerate(docs.columns)], "t", "k").filter("t % k > 0")
-    singles = n.filter("k > 1 and t % k > 0")
-    if singles.isEmpty():
+    n = cut(copies(docs, seed).groupBy(key).agg(F.sum("copies").alias("mix__t"), F.count("*").alias("mix__k")))
+    n = n.select(*[F.col(c).alias(f"mix__{c}") for c in key], "mix__t", "mix__k")
+    marked = docs.withColumn("mix__hash", text_hash(docs))
+    found = marked.join(n, marked["doc_id"].eqNullSafe(F.col("mix__doc_id")) & (F.col("mix__hash") == F.col("mix__h")) & marked["source"].eqNullSafe(F.col("mix__source")))
+    repeated = lambda df, count: df.filter(count > 0).withColumn("mix__i", F.explode(F.sequence(F.lit(1), count))).select(docs.columns)
+    even = repeated(found, F.floor(F.col("mix__t") / F.col("mix__k")))
+    left = F.pmod("mix__t", "mix__k")
+    if n.filter(left > 0).isEmpty():
         return even
-    return even.unionByName(repeated(rest, F.pmod("t", "k")))
+    rest = found.filter(left > 0).groupBy("mix__doc_id", "mix__h", "mix__source", "mix__t", "mix__k")
+    rest = rest.agg(*[F.first(F.struct(F.col(f"`{c}`"))).alias(f"mix__{i}") for i, c in enumerate(docs.columns)])
+    rest = rest.select(*[F.col(f"mix__{i}").getField(c).alias(c) for i, c in enumerate(docs.columns)], "mix__t", "mix__k")
+    return even.unionByName(repeated(rest, left))
