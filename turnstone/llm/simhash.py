@@ -280,7 +280,7 @@ def components(docs: DataFrame, width: int = 4, budget: int = 4, node_limit: int
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected(links(classes, budget, node_limit)).withColumnRenamed("node", "fp")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = cut(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))  # written, so that a skewed root is split
     return marked.join(classes.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
