@@ -359,12 +359,46 @@ def test_redaction(spark, odd):
 # --- pipeline ---
 
 
-def test_pipeline(spark):
+def slow_redacted(text):
+    spans, out, at = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in slow_base(text))), "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[REDACTED]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def slow_mix(rows, seed=7):
+    """rows (id, text, source) -> copies by position."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1])) for r in rows]
+    total = {}
+    for r, n in zip(rows, size):
+        total[r[2]] = total.get(r[2], 0) + n
+    target, out = slow_targets(total), {}
+    for source in total:
+        u = int(hashlib.md5(f"{seed}:{source}".encode()).hexdigest()[:8], 16) / 2**32
+        each = target[source] / total[source] if total[source] else 0.0
+        mine = sorted((i for i, r in enumerate(rows) if r[2] == source), key=lambda i: (-size[i], hashlib.md5(f"{rows[i][0]}:{rows[i][1]}".encode()).hexdigest()))
+        for rank, i in enumerate(mine):
+            out[i] = int((rank + 1) * each + u) - int(rank * each + u)
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
 
     folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = quality.filtered(docs)
-    one = simhash.keep_one_per_component(kept)
-    n = mixing.copies(secrets.redacted(one)).agg(F.sum("copies")).first()[0]
-    assert corpus_pipeline.run(spark, folder).count() == n and [s[0] for s in corpus_pipeline.STAGES][0] == "quality"
+    verdict = {r["doc_id"]: r["kept"] for r in quality.op3_quality(spark, folder).collect()}
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if verdict[r["doc_id"]]]
+    roots, first = slow_components([slow_fingerprint(r[1]) for r in rows]), {}
+    for r, x in zip(rows, roots):
+        first[x] = min(first.get(x, r[0]), r[0])
+    rows = [(r[0], slow_redacted(r[1]), r[2]) for r, x in zip(rows, roots) if first[x] == r[0]]
+    model = SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
+    want = []
+    for i, n in slow_mix(rows).items():
+        ids = model.encode(rows[i][1], add_bos=True, add_eos=True)
+        want += [(rows[i][0], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())] * n
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(want)
