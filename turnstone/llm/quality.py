@@ -19,7 +19,8 @@ from .common import cut, words
 
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Characters by class: each becomes the class's own, so that one pass over a text serves all counts.
+CLASSES = {"U": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#": "#*$%&|<>", "!": "!?", ".": ".,;:-_+=/\\\"'`~^@()[]{}", " ": SPACES}
 
 
 def three(good: Column, bad: Column) -> Column:
@@ -42,18 +43,22 @@ RULES = {
 }
 
 
-def removed(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def classified(text: Column) -> Column:
+    return F.translate(text, "".join(CLASSES.values()), "".join(k * len(v) for k, v in CLASSES.items()))
+
+
+def times(marks: str) -> Column:
+    """How often the marks are in the classified text."""
+    gone = F.length("q_class") - F.length(F.replace("q_class", F.lit(marks), F.lit("")))
+    return F.floor(gone / len(marks)).cast("long")
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the counts that rules use, under names with the prefix q_."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    symbols = F.translate(text, "*$%&|<>", "#######")
-    times = lambda s: ((F.length(symbols) - F.length(F.replace(symbols, F.lit(s), F.lit("")))) / len(s)).cast("long")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     m = F.size("q_words") - (WINDOW - 1)
-    df = docs.withColumns({"q_words": words(F.col(text_col)), "q_lines": lines})
+    df = docs.withColumns({"q_words": words(F.col(text_col)), "q_lines": lines, "q_class": classified(text)})
     df = df.withColumn("q_hashes", F.when(m > 1, F.transform(F.sequence(F.lit(1), m), lambda i: F.xxhash64(F.slice("q_words", i, WINDOW)))))
     repeats = F.size(F.array_distinct("q_hashes")) < F.size("q_hashes")
     pairs = F.array_sort(F.transform("q_hashes", lambda h, i: F.struct(h.alias("h"), F.hash(F.slice("q_words", i + 1, WINDOW)).alias("g"), i.alias("i"))))
@@ -65,18 +70,18 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.aggregate(starts, zero, lambda acc, s: F.struct((s + WINDOW).alias("end"), (acc["n"] + WINDOW - F.greatest(F.lit(0), acc["end"] - s)).alias("n")), lambda acc: acc["n"])
     return df.withColumns({
         "q_n_words": F.size("q_words").cast("long"),
-        "q_word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "q_n_symbols": removed(text, "#*$%&|<>").cast("long"),
-        "q_n_punct": removed(text, PUNCTUATION).cast("long"),
+        "q_word_chars": F.length("q_class").cast("long") - times(" "),
+        "q_n_symbols": times("#"),
+        "q_n_punct": times("#") + times("!") + times("."),
         "q_n_runs": times("##"),
         "q_n_bare": times(" # "),
         "q_n_lines": F.size("q_lines").cast("long"),
         "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
         "q_n_repeat_words": F.when(F.col("q_pairs").isNotNull(), covered).otherwise(0).cast("long"),
         "q_n_distinct": F.size(F.array_distinct("q_words")).cast("long"),
-        "q_n_upper": removed(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
-        "q_n_marks": removed(text, "!?").cast("long"),
-    }).drop("q_words", "q_lines", "q_hashes", "q_pairs")
+        "q_n_upper": times("U"),
+        "q_n_marks": times("!"),
+    }).drop("q_words", "q_lines", "q_class", "q_hashes", "q_pairs")
 
 
 def voted(df: DataFrame) -> DataFrame:
