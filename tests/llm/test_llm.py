@@ -211,6 +211,19 @@ def test_chat_masks_and_blocks(spark):
     assert chat.rotated(df.limit(0)).count() == 0
 
 
+def test_chat_long_conversations_equal_short_ones_in_blocks(spark):
+    """A hot conversation, one without an id, ties and repeated rows: blocks joined again are the whole rendering."""
+    turns = [(7, i // 3, "abc"[i % 3], f"t{i % 5}é") for i in range(200)] + [(None, None, None, None)] * 9 + [(k, 0, "x", "y") for k in range(20, 60)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {(r["conv_id"], r["perspective"]): r["rendered"] for r in chat.rotated(df, 1000).collect()}
+    parts: dict = {}
+    for r in sorted(chat.rotated(df, 4).collect(), key=lambda r: r["block"]):
+        key = (r["conv_id"], r["perspective"])
+        assert r["first_char"] == len(parts.get(key, "")) and r["n_turns"] <= 4
+        parts[key] = parts.get(key, "") + r["rendered"]
+    assert parts == whole and len(whole) == 44
+
+
 # --- 6 ---
 
 

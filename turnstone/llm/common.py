@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What counts as a word: a run of characters other than ASCII white space.
@@ -41,3 +41,20 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, group: str, order: list) -> DataFrame:
+    """df with rank__: a row's place (from 0) within its group, by `order`.
+
+    Not a window over the group, which would take a large one into one task: rows are sorted by range over all tasks and
+    written, counted per task and group, and the counts (one row for each task and group) give each task its start."""
+    spark, place = df.sparkSession, [group, *order]
+    parts, out = int(spark.conf.get("spark.sql.shuffle.partitions")), fresh_dir(spark, "ranked")
+    dealt = df.repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    dealt.withColumns({"part__": F.spark_partition_id(), "at__": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(out)
+    dealt = spark.read.parquet(out)
+    blocks = dealt.groupBy("part__", group).agg(F.count("*").alias("n"), F.min("at__").alias("lowest"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(F.col("part__").alias("part_"), F.col(group).alias("group_"), (ahead - F.col("lowest")).alias("shift_"))
+    found = dealt.join(blocks, (F.col("part__") == F.col("part_")) & F.col(group).eqNullSafe(F.col("group_")))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("at__") + F.col("shift_")).alias("rank__"))

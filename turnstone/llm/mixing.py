@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, ranked, words
 
 WEIGHTS = (3, 1, 2)
 
@@ -47,17 +47,11 @@ def copies(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0)
     base = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), text_hash(docs).alias("h")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     goals = targets(sizes.select("source", "source_size"), share, cap)
-    place = ["source", F.desc("size"), "h", "doc_id"]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(base.repartitionByRange(parts, *place).sortWithinPartitions(*place).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    blocks = dealt.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("at").alias("lowest"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("part", F.col("source").alias("s"), (ahead - F.col("lowest")).alias("shift"))
+    df = ranked(base, "source", [F.desc("size"), "h", "doc_id"])
     goals = goals.withColumnRenamed("source", "g")
-    df = dealt.join(blocks, (dealt["part"] == blocks["part"]) & dealt["source"].eqNullSafe(F.col("s"))).drop("part")
     df = df.join(goals, F.col("source").eqNullSafe(F.col("g")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank, u = F.col("at") + F.col("shift"), offset(F.col("source"), seed)
+    rank, u = F.col("rank__"), offset(F.col("source"), seed)
     n = F.floor((rank + 1) * each + u) - F.floor(rank * each + u)
     return df.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.least(n, F.lit(int(cap))).cast("long").alias("copies"), "h")
 
