@@ -35,29 +35,39 @@ WEIGHTS = {"bias": 0.6, "boiler": -9.0, "content": 6.0, "links": -4.0, "long": 1
 class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int]] = []  # tag, place (1 content, -1 boilerplate, 0), silent depth, node
+        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, place (1 content, -1 boilerplate, 0), silent depth, node, blocks so far
+        self.open: dict[str, list[int]] = {}  # places of a tag's open elements in the stack, so that an end tag needs no search
+        self.closed = 0  # inline tags closed within the stack; they stay there without a tag
         self.nodes = 0
         self.texts: list[str] = []
         self.linked = self.total = 0
         self.out: list[tuple[str, int, float, int, int]] = []  # text, place, share of linked characters, parent, depth
         self.has_content = False
 
+    def close_from(self, i: int) -> None:
+        while len(self.stack) > i or (self.stack and not self.stack[-1][0]):
+            tag = self.stack.pop()[0]
+            if tag:
+                self.open[tag].pop()
+            else:
+                self.closed -= 1
+
     def flush(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
                 place, node = (self.stack[-1][1], self.stack[-1][3]) if self.stack else (0, 0)
-                self.out.append((text, place, self.linked / max(1, self.total), node, len(self.stack)))
+                self.out.append((text, place, self.linked / max(1, self.total), node, len(self.stack) - self.closed))
             self.texts, self.linked, self.total = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.flush()
             while self.stack and self.stack[-1][0] in CLOSED_BY and tag in CLOSED_BY[self.stack[-1][0]]:
-                self.stack.pop()
+                self.close_from(len(self.stack) - 1)
         if tag in VOID:
             return
-        at = self.stack[-1] if self.stack else ("", 0, 0, 0)
+        at = self.stack[-1] if self.stack else ("", 0, 0, 0, 0)
         given = dict(attrs)
         names, role = f"{given.get('class') or ''} {given.get('id') or ''}", (given.get("role") or "").lower()
         place = at[1]
@@ -69,18 +79,22 @@ class Blocks(HTMLParser):
         self.has_content |= place > 0
         self.nodes += 1
         hidden = tag in SILENT or "hidden" in given
-        self.stack.append((tag, place, at[2] + hidden, self.nodes))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, place, at[2] + hidden, self.nodes, at[4] + (tag in BLOCKS)))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[i][0] == tag:
-                if tag not in BLOCKS and any(x[0] in BLOCKS for x in self.stack[i:]):
-                    del self.stack[i]  # an inline tag that outlived its block
-                else:
-                    del self.stack[i:]
-                return
+        places = self.open.get(tag)
+        if not places:
+            return
+        i = places[-1]
+        if tag not in BLOCKS and self.stack[-1][4] > self.stack[i][4]:  # an inline tag that outlived its block
+            places.pop()
+            self.stack[i] = ("", *self.stack[i][1:])
+            self.closed += 1
+        else:
+            self.close_from(i)
 
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][2]:
@@ -88,7 +102,7 @@ class Blocks(HTMLParser):
         self.texts.append(data)
         n = len(data.strip())
         self.total += n
-        self.linked += n * any(x[0] == "a" for x in self.stack[-6:])
+        self.linked += n * bool(self.open.get("a"))
 
 
 def score(block: tuple[str, int, float, int, int], has_content: bool) -> float:
