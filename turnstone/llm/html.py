@@ -27,6 +27,10 @@ CONTENT = frozenset("article main".split())
 BOILER = frozenset("nav header footer aside form menu dialog fieldset".split())
 BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|footer\w*|header\w*|masthead|cookie\w*|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|comment-\w+|respond|replies|disqus\w*|widget\w*|pagination|toolbar|login|search)(?:$|[\s_-])", re.I)
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body-text)(?:$|[\s_-])", re.I)
+#: Parts of a name that state something of a layout or of a topic ("no-sidebar", "category-social"), and names of content's own headers.
+STATED = re.compile(r"(?:^|[_-])(?:no|not|non|has|have|with|without|is|hide|hidden|show|category|cat|tag|topic|layout|template)(?:[_-])", re.I)
+HEADER_NAMES = re.compile(r"(?:^|[_-])(?:header\w*|masthead|banner)(?:$|[_-])", re.I)
+OWN_HEADER = re.compile(r"^(?:article|entry|post|story)[_-]+(?:header\w*|banner)$", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 WEIGHTS = {"bias": 0.6, "boiler": -9.0, "content": 6.0, "links": -4.0, "long": 1.5, "sentence": 0.7, "outside": -2.0}
@@ -35,7 +39,7 @@ WEIGHTS = {"bias": 0.6, "boiler": -9.0, "content": 6.0, "links": -4.0, "long": 1
 class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, place (1 content, -1 boilerplate, 0), silent depth, node, blocks so far
+        self.stack: list[tuple[str, int, int, int, int]] = []  # tag, place (see placed), silent depth, node, blocks so far
         self.open: dict[str, list[int]] = {}  # places of a tag's open elements in the stack, so that an end tag needs no search
         self.closed = 0  # inline tags closed within the stack; they stay there without a tag
         self.nodes = 0
@@ -60,6 +64,22 @@ class Blocks(HTMLParser):
                 self.out.append((text, place, self.linked / max(1, self.total), node, len(self.stack) - self.closed))
             self.texts, self.linked, self.total = [], 0, 0
 
+    def placed(self, tag: str, above: int, names: str, role: str) -> int:
+        """1 content, 0 neither, -1 boilerplate by tag or role, -2 by name only, 2 an article or main within the latter.
+
+        2 is content if the page has no other: then the name is that of a wrapper ("page sidebar-right"), not of what is in it."""
+        tokens = [] if tag in ("html", "body") else [x for x in names.split() if not STATED.search(x)]
+        own = [x for x in tokens if OWN_HEADER.match(x)]
+        boiler = any(BOILER_NAMES.search(x) for x in tokens if x not in own and not (above > 0 and HEADER_NAMES.search(x)))
+        if role in BOILER_ROLES or (tag in BOILER and not (tag == "header" and (above > 0 or own))):
+            return -1
+        if boiler:
+            return -1 if above == -1 else -2
+        inside = tag in CONTENT or role in ("main", "article")
+        if above == -2 and inside:
+            return 2
+        return 1 if above == 0 and (inside or any(CONTENT_NAMES.search(x) for x in tokens)) else above
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -69,14 +89,8 @@ class Blocks(HTMLParser):
             return
         at = self.stack[-1] if self.stack else ("", 0, 0, 0, 0)
         given = dict(attrs)
-        names, role = f"{given.get('class') or ''} {given.get('id') or ''}", (given.get("role") or "").lower()
-        place = at[1]
-        inner = at[1] > 0
-        if BOILER_NAMES.search(names) or role in BOILER_ROLES or (tag in BOILER and not (tag == "header" and inner)):
-            place = -1
-        elif tag in CONTENT or role in ("main", "article") or CONTENT_NAMES.search(names):
-            place = max(place, 1) if place >= 0 else place
-        self.has_content |= place > 0
+        place = self.placed(tag, at[1], f"{given.get('class') or ''} {given.get('id') or ''}", (given.get("role") or "").lower())
+        self.has_content |= place == 1
         self.nodes += 1
         hidden = tag in SILENT or "hidden" in given
         self.open.setdefault(tag, []).append(len(self.stack))
@@ -167,14 +181,16 @@ def extract(page: str | None) -> str:
     parser.feed(page or "")
     parser.close()
     parser.flush()
-    blocks, edges, last = parser.out, [], {}
+    wrapped = -1 if parser.has_content else 1
+    blocks, edges, last = [(b[0], wrapped if b[1] == 2 else b[1], *b[2:]) for b in parser.out], [], {}
+    has_content = parser.has_content or any(b[1] == 1 for b in blocks)
     for i, b in enumerate(blocks):
         if i and (b[1] >= 0) == (blocks[i - 1][1] >= 0):
             edges.append((i - 1, i, 0.5 / (1 + abs(b[4] - blocks[i - 1][4]))))
         if b[3] in last and last[b[3]] != i - 1:
             edges.append((last[b[3]], i, 0.3))
         last[b[3]] = i
-    keep = min_cut([score(b, parser.has_content) for b in blocks], edges)
+    keep = min_cut([score(b, has_content) for b in blocks], edges)
     return " ".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
