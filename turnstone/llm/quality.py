@@ -1,21 +1,23 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the table of vote patterns and their
-counts, which has at most 3 ** len(RULES) rows whatever the corpus, estimates how often each rule votes good, bad or not at all
-on good and on bad documents, and the share of good ones; a document's posterior probability decides. The base rule (too few words, too much
-repetition) rejects before that.
+counts, which has at most 3 ** len(RULES) rows whatever the corpus, estimates how often each rule votes good and bad on good
+and on bad documents, and the share of good ones; a document's posterior probability decides. Abstentions say nothing of the
+class. The base rule (too few words, too much repetition) rejects before that.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows get equal verdicts; windows of
-eight words count as repeated by two 64-bit hashes of their words; an empty table gives no rows; other columns are kept by
-`filtered`.
+eight words count as repeated by a 64-bit and a 32-bit hash of their words; an empty table gives no rows; other columns are
+kept by `filtered` whatever their names (`measured` puts its own in place of columns with the prefix q_).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import cut, fresh_dir, words
 
 WINDOW = 8
 SPACES = " \t\n\x0b\f\r"
@@ -90,54 +92,58 @@ def voted(df: DataFrame) -> DataFrame:
     return df.withColumns({f"v_{name}": rule(column) for name, rule in RULES.items()} | {"q_base_failed": base})
 
 
-def posterior(model: dict) -> Column:
-    odds = F.lit(model["prior"] / (1 - model["prior"]))
-    for name in RULES:
-        ratio = {v: model["good"][name][v] / model["bad"][name][v] for v in VOTES}
-        odds = odds * F.when(F.col(f"v_{name}") == 1, ratio[1]).when(F.col(f"v_{name}") == -1, ratio[-1]).otherwise(ratio[0])
-    return odds / (1 + odds)
+VOTES = (1, 0, -1)
+
 
+def log_odds(model: list[float]) -> Column:
+    """Of being good, from a row's votes. The model is one array literal (see `fitted`), so that every iteration has the same plan."""
+    weights = F.lit(model)
+    return sum((F.get(weights, F.col(f"v_{r}") + (3 * i + 2)) for i, r in enumerate(RULES)), F.get(weights, F.lit(0)))
 
-VOTES = (1, 0, -1)
 
+def posterior(model: list[float]) -> Column:
+    return 1 / (1 + F.exp(-log_odds(model)))
 
-def meant(good: dict, bad: dict) -> tuple[dict, dict]:
-    """A vote never counts against its own meaning, and an abstention for nothing."""
-    good, bad = dict(good), dict(bad)
-    if good[1] < bad[1]:
-        good[1] = bad[1] = (good[1] + bad[1]) / 2
-    if bad[-1] < good[-1]:
-        good[-1] = bad[-1] = (good[-1] + bad[-1]) / 2
-    good[0] = bad[0] = 1.0
-    return good, bad
 
+def weights(good: dict[int, float], bad: dict[int, float]) -> list[float]:
+    """Log-likelihood ratios of the votes -1, 0 and 1, from how often good and bad documents get them.
 
-def fitted(votes: DataFrame, iterations: int = 20, tolerance: float = 1e-4) -> dict:
-    """Vote frequencies by expectation-maximisation over all rows that pass the base rule."""
+    A vote never counts against its own meaning, and an abstention for nothing: whether a rule speaks is not held to depend on
+    the class, only how it votes then."""
+    share = lambda of, v: (of[v] + 1) / (sum(of.values()) + 3)  # noqa: E731  one pseudo-vote a cell
+    ratio = {v: math.log(share(good, v) / share(bad, v)) for v in VOTES}
+    return [min(0.0, ratio[-1]), 0.0, max(0.0, ratio[1])]
+
+
+def fitted(votes: DataFrame, iterations: int = 20, tolerance: float = 1e-4) -> list[float]:
+    """[log-odds of the prior, weights of the first rule's votes -1, 0 and 1, of the second's, ...], by
+    expectation-maximisation over all rows that pass the base rule.
+
+    Each iteration sums posteriors by rule and vote: 33 rows reach the driver. Of the share of good documents, one document
+    in ten thousand of each kind is taken for granted, so that its odds are finite; else it is what the votes say."""
     names = [f"v_{name}" for name in RULES]
-    patterns = votes.groupBy("q_base_failed", *names).agg(F.count("*").alias("n"))
-    patterns = cut(patterns.coalesce(1)).filter(~F.col("q_base_failed"))
-    start = {1: 0.7, 0: 1.0, -1: 0.05}, {1: 0.4, 0: 1.0, -1: 0.3}
-    model = {"prior": 0.8, "good": {r: start[0] for r in RULES}, "bad": {r: start[1] for r in RULES}}
+    patterns = cut(votes.filter(~F.col("q_base_failed")).groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
+    cells = F.explode(F.array(*[F.col(v) + (3 * i + 2) for i, v in enumerate(names)])).alias("cell")
+    model = [math.log(4.0)] + [math.log(0.05 / 0.3), 0.0, math.log(0.7 / 0.4)] * len(RULES)
     for _ in range(iterations):
-        p, n = posterior(model), F.col("n")
-        sums = [F.sum(p * n).alias("p"), F.sum(n).alias("n")]
-        sums += [F.sum(F.when(F.col(f"v_{r}") == v, w * n).otherwise(0.0)).alias(f"{k}{v}{r}") for r in RULES for v in VOTES for k, w in (("g", p), ("b", 1 - p))]
-        got = patterns.agg(*sums).first()
-        if not got["n"]:
+        each = patterns.select("n", posterior(model).alias("p"), cells)
+        got = {r["cell"]: (r["g"], r["b"]) for r in each.groupBy("cell").agg(F.sum(F.col("p") * F.col("n")).alias("g"), F.sum((1 - F.col("p")) * F.col("n")).alias("b")).collect()}
+        if not got:
             break
-        new = {"prior": min(0.98, max(0.5, got["p"] / got["n"])), "good": {}, "bad": {}}
-        share = lambda k, r: {v: (got[f"{k}{v}{r}"] + 1) / (sum(got[f"{k}{x}{r}"] for x in VOTES) + 3) for v in VOTES}  # noqa: E731  one pseudo-vote a cell
-        for r in RULES:
-            new["good"][r], new["bad"][r] = meant(share("g", r), share("b", r))
-        moved = max(abs(new[k][r][v] - model[k][r][v]) for k in ("good", "bad") for r in RULES for v in VOTES)
+        sums = lambda i, side: {v: got.get(3 * i + 2 + v, (0.0, 0.0))[side] for v in VOTES}
+        good, bad = sum(sums(0, 0).values()), sum(sums(0, 1).values())
+        few = 1e-4 * (good + bad)
+        new = [math.log((good + few) / (bad + few))]
+        for i in range(len(RULES)):
+            new += weights(sums(i, 0), sums(i, 1))
+        moved = max(abs(a - b) for a, b in zip(new, model))
         model = new
         if moved < tolerance:
             break
     return model
 
 
-def judged(votes: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+def judged(votes: DataFrame, model: list[float], least: float = 0.5) -> DataFrame:
     return votes.withColumn("q_posterior", posterior(model)).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_posterior") >= least))
 
 
@@ -152,9 +158,11 @@ def op3_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. Votes are small; texts are judged again rather than stored a second time.
-
-    The row number keeps the optimizer from writing the counts' expressions into the filter, once for each use."""
-    votes = voted(measured(docs)).withColumn("q_row", F.monotonically_increasing_id())
-    model = fitted(voted(measured(docs)))
-    return judged(votes, model).filter("q_kept and q_row >= 0").select(docs.columns)
+    """The rows of docs that the rules keep, with all their columns, whatever their names.
+
+    Rows are written once with their votes (in Parquet, in the shared folder), so that texts are counted only once."""
+    spark, out = docs.sparkSession, fresh_dir(docs.sparkSession, "votes")
+    votes = voted(measured(docs.select(F.struct("*").alias("row")), "row.text")).select("row", "q_base_failed", *[f"v_{name}" for name in RULES])
+    votes.write.parquet(out)
+    votes = spark.read.parquet(out)
+    return judged(votes, fitted(votes)).filter("q_kept").select("row.*")
