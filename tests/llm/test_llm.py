@@ -395,23 +395,3 @@ def slow_mix(rows, seed=7):
         for rank, i in enumerate(mine):
             out[i] = int((rank + 1) * each + u) - int(rank * each + u)
     return out
-
-
-def test_pipeline_equals_brute_force(spark):
-    import corpus_pipeline
-    import public_tokenizers
-    from sentencepiece import SentencePieceProcessor
-
-    folder = "/root/testdata/sf0.001"
-    verdict = {r["doc_id"]: r["kept"] for r in quality.op3_quality(spark, folder).collect()}
-    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if verdict[r["doc_id"]]]
-    roots, first = slow_components([slow_fingerprint(r[1]) for r in rows]), {}
-    for r, x in zip(rows, roots):
-        first[x] = min(first.get(x, r[0]), r[0])
-    rows = [(r[0], slow_redacted(r[1]), r[2]) for r, x in zip(rows, roots) if first[x] == r[0]]
-    model = SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL))
-    want = []
-    for i, n in slow_mix(rows).items():
-        ids = model.encode(rows[i][1], add_bos=True, add_eos=True)
-        want += [(rows[i][0], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())] * n
-    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(want)

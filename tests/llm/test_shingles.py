@@ -53,7 +53,8 @@ def test_near_duplicates_equal_brute_force_jaccard(spark, monkeypatch):
     df, stage = spark.createDataFrame(rows, "doc_id long, text string"), dict(corpus_pipeline.STAGES)["near_duplicates"]
     want = slow_kept(rows)
     assert sorted(r["doc_id"] for r in stage(spark, df, "").collect()) == want
-    monkeypatch.setattr(shingles, "SAMPLE", 1)  # common shingles come last: another order, the same links
+    for name, value in (("HOT", 3), ("BLOCK", 7), ("HELD", 1)):  # another order, stars, small blocks: the same links
+        monkeypatch.setattr(shingles, name, value)
     assert sorted(r["doc_id"] for r in stage(spark, df, "").collect()) == want
 
 

@@ -1,10 +1,18 @@
-"""Near-duplicates by five-word shingles: every pair of texts with Jaccard similarity of at least 0.8 is linked.
+"""Near-duplicates by five-word shingles: texts with Jaccard similarity of at least 0.8 are linked by SimHash tries.
 
-An exact set join with prefixes: with a set's shingles in one order for all texts, two sets of that similarity share a shingle
-among the first n - ceil(0.8 n) + 1 of each. Any order finds the same pairs; here shingles that are common in a sample come
-last, so that few texts meet at one. Texts with equal sets are one class. Candidates are checked on their whole sets: first
-those of each text with a few texts of a shingle that many share, which is linear and links large groups, then all pairs of texts that are
-not yet in one component. A key with many texts is split by Spark's join of skewed partitions.
+At that similarity fingerprints of 64 bits differ in about 10 bits, too many for the leading blocks of `simhash`: within such a
+budget a trie of all keys is nearly all pairs. So there is a trie for each anchor instead, which holds the fingerprints of the
+texts that share it; node pairs are walked as in `simhash`, with a budget of `BUDGET` bits, and what is left is
+checked on the whole sets of shingles in the same task. Anchors are a set's first shingles in one order for all texts: by hash,
+those that more than `HOT` sets of the corpus share last. Two sets of that similarity share one among the first n - ceil(0.8 n) + 1 of
+each; of these, `ANCHORS` are taken of the `SKETCH` smallest, so that long texts cost no more than short ones.
+
+What this misses: a link of similarity 0.8 shares none of 12 anchors with a probability below 1e-8 (never, where
+sets have at most 40 shingles), and differs in more than 24 bits with one of 3e-6, were its bits independent. Every link that is kept
+is exact.
+
+Large anchors: the sets of one are first compared with one of them (a star, which is linear); then only sets of different
+components are still to be compared, in blocks of at most `BLOCK`. Tasks emit a spanning forest of checked links.
 
 Defined results: words and case are as in `simhash`; a text of fewer than five words is one shingle, one without words (or a
 null text) an empty set; sets and shingles are told apart by 64-bit hashes; rows without an id stay, as do other columns.
@@ -21,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .simhash import SEED, connected
+from .simhash import BITS, SEED, connected, walk
 
 WIDTH = 5
-#: Similarity of 4 / 5 in whole numbers: an overlap of o of a and b shingles is enough when 9 o >= 4 (a + b).
-SAMPLE, COMMON, MOST, PIVOTS, HOT = 16, 8, 50_000, 4, 16
+ANCHORS, SKETCH, BUDGET = 12, 40, 24
+HOT, BLOCK, PIVOTS = 32, 1000, 3
+#: Sets that a task holds at once, in bytes, before it compares them (those of one pair of blocks at least).
+HELD = 32 << 20
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -41,106 +51,244 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n))
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+def set_fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: a bit is 1 if set in over half of the hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(s), 1 << 16):
+        counts += np.unpackbits(s[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int((np.uint64(1) << np.flatnonzero(2 * counts > len(s)).astype(np.uint64)).sum(dtype=np.uint64))
 
 
 def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")))
 
 
-def common_shingles(texts: DataFrame) -> np.ndarray:
-    """Shingles of many texts of a sample. They only order the prefixes: links do not depend on which they are."""
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, t: key of the text, c: key of its set, n: size of the set, fp: its fingerprint, sketch) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], names=["s"])
+            sets = [shingles(t.as_py()) for t in batch.column(2)]
+            longs = lambda values: pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+            columns = [batch.column(0), batch.column(1), longs([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]), pa.array(map(len, sets), pa.int32())]
+            columns += [longs([set_fingerprint(s) for s in sets]), pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "c", "n", "fp", "sketch"])
 
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s long")
-    rows = some.groupBy("s").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST).collect()
-    return np.sort(np.array([r["s"] for r in rows], dtype=np.int64).view(np.uint64))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_key(F.col("text")).alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t string, c long, n int, fp long, sketch array<long>")
 
 
-def marked(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """(doc_id, t: key of the text, c: key of its set, n: size of the set, prefix) of every row."""
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(c, t, n, fp, sketch, first_id): one row for each distinct set."""
+    return rows.groupBy("c").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sizes, prefixes = [], [], []
-            for t in batch.column(2):
-                s = shingles(t.as_py())
-                keys.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
-                sizes.append(len(s))
-                late = np.isin(s, common, assume_unique=True)
-                prefixes.append(np.concatenate((s[~late], s[late]))[: len(s) // 5 + 1].view(np.int64))
-            columns = [batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "c", "n", "prefix"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("t"), "text").mapInArrow(run, f"doc_id {kind}, t string, c long, n int, prefix array<long>")
+def postings_of(classes: DataFrame) -> DataFrame:
+    """(s, c, n, fp, anchors, size) of the anchors that more than one set has; size is how many have it."""
+    each = classes.filter("n > 0").select("c", "n", "fp", F.explode("sketch").alias("s"))
+    common = cut(each.groupBy("s").agg(F.count("*").alias("size")).filter(F.col("size") > HOT))
+    late = each.join(common.select("s"), "s").groupBy("c").agg(F.collect_list("s").alias("late"))  # at most SKETCH
+    held = classes.filter("n > 0").join(late, "c", "left")
+    late = F.coalesce(F.col("late"), F.expr("array()").cast("array<long>"))
+    # the sketch is in order of the unsigned hash; both parts keep it
+    ordered = F.concat(F.filter("sketch", lambda s: ~F.array_contains(late, s)), F.filter("sketch", lambda s: F.array_contains(late, s)))
+    first = F.least(F.lit(ANCHORS), F.floor(F.col("n") / 5).cast("int") + 1)
+    held = cut(held.select("c", "n", "fp", F.slice(ordered, F.lit(1), first).alias("anchors")))
+    each = held.select("c", "n", "fp", "anchors", F.explode("anchors").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("size")).filter("size > 1")
+    return cut(each.join(shared, "s").select("s", "c", "n", "fp", "anchors", "size"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, s: its sorted shingles as bytes) of the wanted (t, c)."""
+    """(c, set: its sorted shingles as bytes) of the wanted (t, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["c", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["c", "set"])
 
     texts = docs.select(text_key(F.col("text")).alias("t"), "text").join(wanted, "t").dropDuplicates(["c"])
-    return texts.select("c", "text").mapInArrow(run, "c long, s binary")
+    return texts.select("c", "text").mapInArrow(run, "c long, set binary")
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough."""
+def wanted(pairs: DataFrame, classes: DataFrame, *names: str) -> DataFrame:
+    ends = pairs.select(F.explode(F.array(*names)).alias("c")).distinct()
+    return classes.select("t", "c").join(ends, "c").select("t", "c")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(i)] for i in (2, 3))
-            ok = pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
-    first, second = sets.select(F.col("c").alias("u"), F.col("s").alias("su")), sets.select(F.col("c").alias("v"), F.col("s").alias("sv"))
-    return pairs.join(first, "u").join(second, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+def near(a: str, b: str) -> Column:
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
 
 
-def wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("u").alias("c")).unionByName(pairs.select(F.col("v").alias("c"))).distinct()
-    return classes.select("t", "c").join(ends, "c").select("t", "c")
+def overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of `one` are in each of the others; all are sorted and not empty."""
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    return np.add.reduceat((one[at] == joined).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def similar(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which others have a Jaccard similarity of at least 4 / 5: an overlap of o of a and b shingles, with 9 o >= 4 (a + b)."""
+    return 9 * overlaps(one, others) >= 4 * (len(one) + np.array([len(o) for o in others]))
+
 
+def starred(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(u, v): checked links of the sets of large anchors with one set of each, of few for anchors that meet in the same sets."""
+    large = postings.filter(F.col("size") > HOT).select("s", "c", "n", "fp")
+    pivot = F.min_by(F.struct(F.col("c").alias("v"), F.col("n").alias("m"), F.col("fp").alias("by")), F.xxhash64("c", F.pmod("s", F.lit(PIVOTS))))
+    pairs = large.join(large.groupBy("s").agg(pivot.alias("p")).select("s", "p.*"), "s")
+    pairs = pairs.filter(near("n", "m") & (F.col("c") != F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("by"))) <= BUDGET))
+    pairs = cut(pairs.select(F.col("c").alias("u"), "v").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(i)] for i in (2, 3))
+            ok = pa.array([bool(similar(x, [y])[0]) for x, y in zip(a, b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["u", "v"])
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(u, v): similar pairs of classes that connect all that are connected by such pairs."""
-    classes = cut(rows.groupBy("c").agg(F.min("t").alias("t")))
-    firsts = rows.join(classes, ["c", "t"]).dropDuplicates(["c"])
-    postings = firsts.select("c", "n", F.posexplode("prefix").alias("at", "s"))
-    shared = cut(postings.join(postings.groupBy("s").count().filter("count > 1"), "s"))
-    near = F.least("n", "m") * 5 >= F.greatest("n", "m") * 4
-    hot = shared.filter(F.col("count") > HOT).select("s", "c", "n")
-    pivot = F.min_by(F.struct(F.col("c").alias("v"), F.col("n").alias("m")), F.xxhash64("c", F.pmod("s", F.lit(PIVOTS))))
-    stars = hot.join(hot.groupBy("s").agg(pivot.alias("p")).select("s", "p.*"), "s").filter(near & (F.col("c") != F.col("v")))
-    stars = cut(stars.select(F.least("c", "v").alias("u"), F.greatest("c", "v").alias("v")).distinct())
-    stars = cut(checked(stars, sets_of(docs, wanted(stars, classes))))
-    roots = connected(stars)
-    left = cut(shared.select("s", "c", "n", "at").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")))
-    other = left.select("s", F.col("c").alias("v"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("root").alias("other"))
-    rest = left.join(other, "s").filter((F.col("c") < F.col("v")) & (F.col("root") != F.col("other")) & near)
-    # a pair's overlap is at most what its prefixes share and what follows the last shared place in either set
-    rest = rest.groupBy(F.col("c").alias("u"), "v", "n", "m").agg(F.count("*").alias("k"), F.max("at").alias("at"), F.max("by").alias("by"))
-    most = F.col("k") + F.least(F.col("n") - 1 - F.col("at"), F.col("m") - 1 - F.col("by"))
-    rest = cut(rest.filter(9 * most >= 4 * (F.col("n") + F.col("m"))).select("u", "v"))
-    return stars.unionByName(cut(checked(rest, sets_of(docs, wanted(rest, classes)))))
+    if pairs.isEmpty():
+        return pairs
+    sets = cut(sets_of(docs, wanted(pairs, classes, "u", "v")))
+    first, second = sets.select(F.col("c").alias("u"), F.col("set").alias("su")), sets.select(F.col("c").alias("v"), F.col("set").alias("sv"))
+    return cut(pairs.join(second, "v").join(first, "u").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"))
+
+
+def dealt(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, lo, hi, side, c, n, fp, anchors, root): sets of different components that share an anchor, by pairs of blocks.
+
+    An anchor of up to BLOCK sets is one block. Of a larger one, the sets of its largest component need not be compared with each
+    other, so their blocks (after the others') meet only the others'."""
+    held = postings.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    counted = held.groupBy("s", "root").agg(F.count("*").alias("k"))
+    most = counted.groupBy("s").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all"))
+    mixed = most.filter(F.col("most.k") < F.col("all")).select("s", F.col("most.root").alias("major"), F.col("most.k").alias("k"), "all")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    split = F.col("all") > BLOCK
+    mixed = mixed.withColumns({"m": F.when(split, blocks(F.col("all") - F.col("k"))).otherwise(1), "more": F.when(split, blocks(F.col("k"))).otherwise(0)})
+    held = held.join(mixed, "s")
+    in_major = (F.col("more") > 0) & (F.col("root") == F.col("major"))
+    salt = F.xxhash64("c")
+    block = F.when(in_major, F.col("m") + F.pmod(salt, F.greatest(F.col("more"), F.lit(1)))).otherwise(F.pmod(salt, F.col("m"))).cast("int")
+    last = F.when(in_major, F.col("m")).otherwise(F.col("m") + F.col("more")) - 1
+    held = held.withColumns({"b": block, "last": last}).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return held.select("s", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"), (F.col("b") > F.col("p")).cast("int").alias("side"), "c", "n", "fp", "anchors", "root")
+
+
+#: Columns of what a task gets, in order; a set's bytes follow where there are any.
+DEALT = ("s", "lo", "hi", "side", "c", "n", "fp", "root", "anchors")
+
+
+def grouped(df: DataFrame, *more: str) -> DataFrame:
+    unsigned = F.col("fp").bitwiseXOR(F.lit(-(1 << 63)))
+    return df.select(*DEALT, *more).repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi", "side", unsigned, "c")
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of some whole tasks (s, lo, hi) at a time, in order."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        rest.append(batch)
+        if sum(len(b) for b in rest) < 20_000 and sum(b.nbytes for b in rest) < HELD:
+            continue
+        joined = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+        key = np.stack([joined.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+        before = np.flatnonzero(np.any(key != key[-1], axis=1))
+        if len(before):
+            yield joined.slice(0, before[-1] + 1)
+            joined = joined.slice(before[-1] + 1)
+        rest = [joined]
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def candidates(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of pairs within the budget that are of different components and near sizes, by the walk of each task's trie.
+
+    A pair that shares several anchors counts at the smallest hash of them alone."""
+    s, lo, hi, side, c, n, fp, root = (rows.column(i).to_numpy().astype(np.int64) for i in range(8))
+    keys = fp.view(np.uint64)
+    anchors = np.full((len(rows), ANCHORS), np.iinfo(np.int64).min)
+    lengths = np.diff(rows.column(8).offsets.to_numpy())
+    anchors[np.arange(ANCHORS) < lengths[:, None]] = rows.column(8).flatten().to_numpy()
+    task = np.flatnonzero((s[1:] != s[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+    starts, stops = np.concatenate(([0], task)), np.concatenate((task, [len(rows)]))
+    second = np.concatenate(([0], np.cumsum(side)))
+    mids = stops - (second[stops] - second[starts])
+    own = lo[starts] == hi[starts]
+    nodes = np.stack([starts, np.where(own, stops, mids), np.where(own, starts, mids), stops, np.zeros_like(starts), np.full_like(starts, BUDGET)], 1)
+    nodes = nodes[(nodes[:, 0] < nodes[:, 1]) & (nodes[:, 2] < nodes[:, 3])]
+    for i, j in walk(keys, nodes, BUDGET):
+        ok = (root[i] != root[j]) & (c[i] != c[j]) & (np.minimum(n[i], n[j]) * 5 >= np.maximum(n[i], n[j]) * 4)
+        i, j = i[ok], j[ok]
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            x = anchors[a]
+            both = (x[:, :, None] == anchors[b][:, None, :]).any(2) & (np.arange(ANCHORS) < lengths[a][:, None])
+            ok = np.where(both, x, np.iinfo(np.int64).max).min(1) == s[a]
+            if ok.any():
+                yield a[ok], b[ok]
+
+
+def found_in_tasks(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of each task's checked links."""
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_tasks(batches):
+            met = np.zeros(len(rows), bool)
+            for i, j in candidates(rows):
+                met[i] = met[j] = True
+            yield rows.filter(pa.array(met))
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_tasks(batches):
+            sets, c = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column(9)], rows.column(4).to_numpy()
+            parent = dict.fromkeys(c.tolist())
+
+            def top(x: int) -> int:
+                while parent[x] is not None:
+                    if parent[parent[x]] is not None:
+                        parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            out: list[tuple[int, int]] = []
+            for i, j in candidates(rows):
+                order = np.argsort(i, kind="stable")
+                for js in np.split(order, np.flatnonzero(np.diff(i[order])) + 1):
+                    u, mine = int(c[i[js[0]]]), sets[i[js[0]]]
+                    others = [k for k in j[js].tolist() if top(int(c[k])) != top(u)]
+                    for k, ok in zip(others, similar(mine, [sets[k] for k in others]) if others else []):
+                        a, b = top(u), top(int(c[k]))
+                        if ok and a != b:
+                            parent[max(a, b)] = min(a, b)
+                            out.append((u, int(c[k])))
+            ends = np.array(out, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["u", "v"])
+
+    kinds = "s long, lo int, hi int, side int, c long, n int, fp long, root long, anchors array<long>"
+    some = cut(grouped(tasks).mapInArrow(flagged, kinds))
+    if some.isEmpty():
+        return some.select(F.col("c").alias("u"), F.col("c").alias("v"))
+    sets = sets_of(docs, wanted(some, classes, "c"))
+    return cut(grouped(some.join(sets, "c"), "set").mapInArrow(checked, "u long, v long"))
+
+
+def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v): similar pairs of sets that connect all that are connected by such pairs."""
+    postings = postings_of(classes)
+    stars = starred(docs, classes, postings)
+    return stars.unionByName(found_in_tasks(docs, classes, dealt(postings, connected(stars))))
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row."""
-    rows = cut(marked(docs, common_shingles(docs)))
-    firsts = rows.groupBy("c").agg(F.min("doc_id").alias("first_id"))
-    classes = firsts.join(connected(links(docs, rows)).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    classes = cut(classes)
-    least = cut(classes.groupBy("root").agg(F.min("first_id").alias("component_id")))  # written, so that a skewed root is split
-    return rows.join(classes.select("c", "root").join(least, "root").select("c", "component_id"), "c").select("doc_id", "component_id")
+    rows = cut(marked(docs))
+    classes = cut(classes_of(rows))
+    found = classes.select("c", "first_id").join(connected(links(docs, classes)).withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    found = cut(found)
+    least = cut(found.groupBy("root").agg(F.min("first_id").alias("component_id")))  # written, so that a skewed root is split
+    return rows.select("doc_id", "c").join(found.select("c", "root").join(least, "root").select("c", "component_id"), "c").select("doc_id", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
