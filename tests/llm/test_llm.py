@@ -130,6 +130,48 @@ def test_media_tail_and_broken_member(spark, tmp_path):
         read().collect()
 
 
+def test_media_tasks_without_rows_and_ids_of_any_type(spark):
+    for kind, ids in (("string", ["a/b", "ü %", "", None, "7", "7"]), ("long", [1, None, -3, 2**62, 5, 5]), ("int", [1, 2, 3, None, 4, 4])):
+        df = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(ids)], f"doc_id {kind}, text string").repartition(16)
+        got = media.media_columns(spark, df).collect()
+        assert sorted((str(r["doc_id"]), r["n_bytes"]) for r in got) == sorted((str(k), 6) for k in ids)
+
+
+def test_media_feature_and_stored_form():
+    """Against numpy, and against a PNG built by the book: filter type 0 before each row, one deflated stream."""
+    rng = np.random.default_rng(6)
+    for data in (b"", b"abc" * 70, bytes(rng.integers(0, 256, 1000, dtype=np.uint8)), "äöü€".encode() * 50):
+        payload = np.frombuffer(media.padded(data), np.uint8)
+        share = np.bincount(payload, minlength=256) / len(payload)
+        want = {"mean": payload.mean(), "dev": payload.std(), "entropy": -sum(p * np.log2(p) for p in share if p)}
+        got = dict(x.split("=") for x in media.feature(payload.tobytes()).split(";"))
+        assert got.keys() == want.keys() and all(abs(float(got[k]) - want[k]) < 6e-4 for k in want)
+        made = media.encode_png(data)
+        kinds, at = [], 8
+        while at < len(made):
+            n = int.from_bytes(made[at : at + 4], "big")
+            kinds.append((made[at + 4 : at + 8], made[at + 8 : at + 8 + n]))
+            at += 12 + n
+        rows = payload.reshape(-1, 64)
+        assert [k for k, _ in kinds] == [b"IHDR", b"tEXt", b"IDAT", b"IEND"]
+        assert zlib.decompress(kinds[2][1]) == np.hstack([np.zeros((len(rows), 1), np.uint8), rows]).tobytes()
+
+
+def test_media_directory_is_read_again(spark, tmp_path, monkeypatch):
+    media.write_archives(spark.createDataFrame([(1, "x")], "doc_id long, text string").coalesce(1), str(tmp_path))
+    reader, calls = media.ArchiveReader({"path": str(tmp_path)}), []
+    whole = media.ArchiveReader.directory
+
+    def flaky(self, store, path):
+        calls.append(path)
+        if len(calls) < 3:
+            raise OSError("gone")
+        return whole(self, store, path)
+
+    monkeypatch.setattr(media.ArchiveReader, "directory", flaky)
+    assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == 1 and len(calls) == 3
+
+
 # --- 3 ---
 
 

@@ -2,26 +2,31 @@
 
 Writing: each task writes one ZIP archive of PNG members into a shared folder. A payload's bytes are the 8-bit grey samples
 of an image 64 samples wide; PNG keeps them losslessly and deflated. The number of bytes before padding is in a text chunk
-of the image, so the stored form depends on the payload alone; the row's id is in the member's name.
+of the image, so the stored form depends on the payload alone; the row's id is in the member's name (as JSON, percent-encoded,
+so ids can be of any integer or string type). A task without rows writes no archive.
 
 Reading: the data source plans byte ranges over the archives from their sizes alone; a task opens the archive's directory,
-takes the members that begin within its range, and streams Arrow batches. A member that can't be read or fails its checksum
-is read again on its own by its offset; after `attempts` the task fails (and Spark tries it again), or with
+takes the members that begin within its range, and streams Arrow batches. A directory or member that can't be read or fails its
+checksum is read again on its own, a member by its offset; after `attempts` the task fails (and Spark tries it again), or with
 `on_error=row` the member comes back with its error and no payload.
 
 Defined results: a null text is empty; an empty text has 64 zero bytes; a null id is stored as such; repeated rows are
-members of their own; an empty table has archives without members; other columns are not stored.
+members of their own; an empty table or task has no archive; other columns are not stored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import json
 import math
 import struct
 import time
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -33,8 +38,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .common import fresh_dir
 
 WIDTH = 64
+#: An archive of fewer bytes is read whole for its directory.
+SMALL = 1 << 16
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+FIELDS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
 
 
 def padded(data: bytes) -> bytes:
@@ -89,15 +96,19 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     """Writes every row's text as a member; returns the number of members. A retried task overwrites its own archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (batch for batch in batches if len(batch))
+        first = next(batches, None)
+        if first is None:
+            return
         store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
         context = TaskContext.get()
         name = f"{path}/part-{context.partitionId():06d}"
         temporary, n = f"{name}.{context.taskAttemptId()}.tmp", 0
         with store.open_output_stream(temporary) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED, allowZip64=True) as archive:
-            for batch in batches:
+            for batch in chain([first], batches):
                 for key, text in zip(batch.column(0), batch.column(1)):
-                    archive.writestr(zipfile.ZipInfo(f"{n}/{key.as_py() if key.is_valid else ''}.png"), encode_png((text.as_py() or "").encode("utf-8", "surrogatepass")))
+                    archive.writestr(zipfile.ZipInfo(member_name(n, key.as_py())), encode_png((text.as_py() or "").encode("utf-8", "surrogatepass")))
                     n += 1
         store.move(temporary, f"{name}.zip")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
@@ -105,6 +116,14 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def member_name(n: int, key: int | str | None) -> str:
+    return f"{n}/{quote(json.dumps(key), safe='')}.png"
+
+
+def member_id(name: str) -> int | str | None:
+    return json.loads(unquote(name.split("/")[-1][:-4]))
+
+
 class ByteRange(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
         self.path, self.start, self.stop = path, start, stop
@@ -117,6 +136,7 @@ class ArchiveReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 3))
         self.rows = int(options.get("batch_rows", 256))
         self.raises = options.get("on_error", "fail") != "row"
+        self.id_type = pa.string() if options.get("id_type") == "string" else pa.int64()
 
     def partitions(self) -> list[InputPartition]:
         store, path = filesystem(self.folder)
@@ -134,30 +154,43 @@ class ArchiveReader(DataSourceReader):
             raise ValueError("checksum of the member")
         return data
 
-    def row(self, store: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple:
-        key = info.filename.split("/")[-1][:-4]
-        key = int(key) if key else None
+    def tried(self, read: Callable[[], object]) -> object:
+        """What `read` gives, after up to `attempts`; then its last error is raised."""
         for attempt in range(self.attempts):
             try:
-                media = self.member(store, path, info)
-                payload, n = decode_png(media)
-                sha = lambda b: hashlib.sha256(b).hexdigest()
-                return key, n, len(payload), sha(payload), zlib.crc32(payload[-WIDTH:]), len(media), sha(media), feature(payload), None
-            except (OSError, ValueError, KeyError, struct.error, zlib.error) as e:
-                error = e
-                time.sleep(0.05 * 2**attempt if attempt + 1 < self.attempts else 0)
-        if self.raises:
-            raise OSError(f"{path} at {info.header_offset}: {error}")
-        return key, *[None] * 7, f"{info.header_offset}: {error}"
+                return read()
+            except (OSError, ValueError, KeyError, struct.error, zlib.error, zipfile.BadZipFile):
+                if attempt + 1 == self.attempts:
+                    raise
+                time.sleep(0.05 * 2**attempt)
+
+    def directory(self, store: pafs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        with store.open_input_file(path) as raw:
+            return zipfile.ZipFile(io.BytesIO(raw.read()) if raw.size() < SMALL else raw).infolist()
+
+    def row(self, store: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple:
+        key = member_id(info.filename)
+
+        def read() -> tuple:
+            media = self.member(store, path, info)
+            payload, n = decode_png(media)
+            sha = lambda b: hashlib.sha256(b).hexdigest()
+            return key, n, len(payload), sha(payload), zlib.crc32(payload[-WIDTH:]), len(media), sha(media), feature(payload), None
+
+        try:
+            return self.tried(read)
+        except (OSError, ValueError, KeyError, struct.error, zlib.error) as error:
+            if self.raises:
+                raise OSError(f"{path} at {info.header_offset}: {error}") from error
+            return key, *[None] * 7, f"{info.header_offset}: {error}"
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         store, _ = filesystem(self.folder)
-        with store.open_input_file(partition.path) as raw:
-            directory = zipfile.ZipFile(raw).infolist()
-        kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64()] + [pa.string()] * 3
-        names = [f.split()[0] for f in FIELDS.split(", ")]
+        directory = self.tried(lambda: self.directory(store, partition.path))
+        kinds = [self.id_type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * 3
+        names = ["doc_id", *(f.split()[0] for f in FIELDS.split(", "))]
         rows: list[tuple] = []
         for info in directory:
             if partition.start <= info.header_offset < partition.stop:
@@ -170,14 +203,14 @@ class ArchiveReader(DataSourceReader):
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("media_archives").load(folder)"""
+    """spark.read.format("media_archives").load(folder); the option id_type is long or string."""
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return FIELDS
+        return f"doc_id {'string' if self.options.get('id_type') == 'string' else 'long'}, {FIELDS}"
 
     def reader(self, schema) -> DataSourceReader:
         return ArchiveReader(dict(self.options))
@@ -187,7 +220,8 @@ def media_columns(spark: SparkSession, docs: DataFrame, folder: str | None = Non
     folder = folder or fresh_dir(spark, "media")
     write_archives(docs, folder)
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("path", folder).load()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return spark.read.format("media_archives").option("path", folder).option("id_type", "string" if kind == "string" else "long").load()
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
