@@ -249,11 +249,7 @@ CLIP = lambda n: f"(select {n} n, coalesce(sum(least(h.c, coalesce(r.c, 0))), 0)
 
 @query(SPOKEN + "select cast(n as bigint) n, cast(matched as bigint) matched, cast(total as bigint) total, round(coalesce(matched / nullif(total, 0), 0), 6) as \"precision\" from (" + " union all ".join(f"select * from {CLIP(n)}" for n in (1, 2, 3, 4)) + ")")
 def clipped_precision_n(spark, sf_dir):
-    rows = spoken(spark, sf_dir)
-    out = metrics.clipped(rows, 1)
-    for n in (2, 3, 4):
-        out = out.unionByName(metrics.clipped(rows, n))
-    return out.withColumn("precision", F.round("precision", 6))
+    return metrics.clipped(spoken(spark, sf_dir)).withColumn("precision", F.round("precision", 6))
 
 
 @query(SPOKEN + ", p as (" + " union all ".join(f"select n, greatest(coalesce(matched / nullif(total, 0), 0), 1e-9) p, coalesce(matched / nullif(total, 0), 0) raw from {CLIP(n)}" for n in (1, 2, 3, 4)) + """),

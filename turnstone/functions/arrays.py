@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,17 +45,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((norm(a) < 1e-9) | (norm(b) < 1e-9), 0.0).otherwise(F.try_divide(dot(a, b), n))
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated only once however often f uses it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def shares(a: Column) -> Column:
+    """a divided by its sum."""
+    return bound(F.struct(a.alias("a"), total(a).alias("t")), lambda x: F.transform(x["a"], lambda y: y / x["t"]))
+
+
 def softmax(a: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp((x - top) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    return shares(bound(F.struct(a.alias("a"), F.array_max(a).alias("top")), lambda x: F.transform(x["a"], lambda y: F.exp((y - x["top"]) / temperature))))
 
 
 def nucleus(p: Column, top_p: float = 0.9) -> Column:
     """p renormalised over the most probable ids, up to the one whose predecessors reach top_p; others are 0."""
-    ahead = lambda x, i: total(F.transform(p, lambda y, j: F.when((y > x) | ((y == x) & (j < i)), y).otherwise(0.0)))
-    kept = F.transform(p, lambda x, i: F.when(ahead(x, i) > top_p, 0.0).otherwise(x))
-    return F.transform(kept, lambda x: x / total(kept))
+
+    def kept(p: Column) -> Column:
+        ahead = lambda x, i: total(F.transform(p, lambda y, j: F.when((y > x) | ((y == x) & (j < i)), y).otherwise(0.0)))
+        return F.transform(p, lambda x, i: F.when(ahead(x, i) > top_p, 0.0).otherwise(x))
+
+    return shares(bound(p, kept))
 
 
 def blocked(ids: Column, n: int) -> Column:

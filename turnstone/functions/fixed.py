@@ -90,3 +90,10 @@ GENERIC = (
     "i have no idea", "i don't understand", "i don t understand",
 )
 TRIVIAL = ("ok", "yes", "no", "thanks", "thank you", "sorry", "hmm", "lol", "haha")
+
+TOKENS_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" $1 "),
+    (r"([^0-9])([\.,])", r"$1 $2 "),
+    (r"([\.,])([^0-9])", r" $1 $2"),
+    (r"([0-9])(-)", r"$1 $2 "),
+)

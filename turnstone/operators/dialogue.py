@@ -17,18 +17,18 @@ def grouped(turns: DataFrame) -> DataFrame:
 def usable(turns: DataFrame) -> DataFrame:
     """Turns that are not by bots, actions, pastes, repetitive or empty once cleaned; speakers lower-cased, texts cleaned."""
     speaker, raw = F.lower(F.trim("speaker")), F.trim("text")
-    kept = turns.filter(~speaker.isin(*fixed.BOTS) & ~raw.rlike(fixed.ACTION) & ~T.is_paste(raw) & ~T.is_repetitive(raw))
-    return kept.withColumns({"speaker": speaker, "text": T.clean(raw)}).filter("text <> ''")
+    kept = turns.filter(~speaker.isin(*fixed.BOTS) & ~raw.rlike(fixed.ACTION) & ~T.is_paste(raw))
+    return kept.withColumns({"speaker": speaker, "text": T.clean(raw)}).filter((F.col("text") != "") & ~T.is_repetitive(F.col("text")))
 
 
 def shape(turns: DataFrame) -> DataFrame:
-    """id, n, n_speakers, dominance, alternation: one shuffle on id serves both the window and the aggregates."""
+    """id, n, n_speakers, dominance, alternation: one shuffle on id serves the window and both aggregates."""
     inside = Window.partitionBy("id").orderBy("ord")
-    marked = turns.withColumn("changed", (F.lag("speaker").over(inside) != F.col("speaker")).cast("int"))
-    marked = marked.withColumn("of_speaker", F.count("*").over(Window.partitionBy("id", "speaker")))
-    return marked.groupBy("id").agg(
-        F.count("*").alias("n"), F.count_distinct("speaker").alias("n_speakers"), (F.max("of_speaker") / F.count("*")).alias("dominance"),
-        F.coalesce(F.try_divide(F.sum("changed"), F.count("*") - 1), F.lit(0.0)).alias("alternation"),
+    marked = turns.select("id", "speaker", (F.lag("speaker").over(inside) != F.col("speaker")).cast("int").alias("changed"))
+    by_speaker = marked.groupBy("id", "speaker").agg(F.count("*").alias("k"), F.sum("changed").alias("changed"))
+    return by_speaker.groupBy("id").agg(
+        F.sum("k").alias("n"), F.count("speaker").alias("n_speakers"), (F.max("k") / F.sum("k")).alias("dominance"),
+        F.coalesce(F.try_divide(F.sum("changed"), F.sum("k") - 1), F.lit(0.0)).alias("alternation"),
     )
 
 
@@ -40,9 +40,14 @@ def reason(min_turns: int = 2, dominance: float = 0.80, alternation: float = 0.1
     )
 
 
+def in_time(timed: DataFrame) -> list[str]:
+    """Order by time, and by place among equal times where rows have one."""
+    return ["ts", "ord"] if "ord" in timed.columns else ["ts"]
+
+
 def gaps(timed: DataFrame, hard: float = 3600, soft: float = 600) -> DataFrame:
     """timed (id, ts) -> id, n, max_gap and soft_ratio in seconds, reason by the temporal rules."""
-    inside = Window.partitionBy("id").orderBy("ts")
+    inside = Window.partitionBy("id").orderBy(*in_time(timed))
     gap = F.expr("timestampdiff(MICROSECOND, before, ts)") / 1e6
     df = timed.withColumn("before", F.lag("ts").over(inside)).withColumn("gap", gap)
     df = df.groupBy("id").agg(F.count("*").alias("n"), F.max("gap").alias("max_gap"), F.avg((F.col("gap") > soft).cast("double")).alias("soft_ratio"))
@@ -51,7 +56,7 @@ def gaps(timed: DataFrame, hard: float = 3600, soft: float = 600) -> DataFrame:
 
 def sessions(timed: DataFrame, gap_seconds: int) -> DataFrame:
     """timed with a session number by id: a new one after each gap that is longer."""
-    inside = Window.partitionBy("id").orderBy("ts")
+    inside = Window.partitionBy("id").orderBy(*in_time(timed))
     new = F.coalesce((F.expr("timestampdiff(SECOND, before, ts)") > gap_seconds).cast("int"), F.lit(1))
     return timed.withColumn("before", F.lag("ts").over(inside)).withColumn("new", new).withColumn("session", F.sum("new").over(inside)).drop("before", "new")
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 
 
@@ -17,24 +18,58 @@ def distinct_n(rows: DataFrame, array: str, n: int) -> DataFrame:
     return grams.agg(F.count_distinct("g").alias("n_unique"), F.count("*").alias("n_total")).withColumn("ratio", F.col("n_unique") / F.greatest("n_total", F.lit(1)))
 
 
-def clipped(rows: DataFrame, n: int) -> DataFrame:
-    """rows (sample_id, hyp, ref) -> n, matched, total, precision. Grams are counted by sample, so no sample is collected."""
-    count = lambda c: rows.select("sample_id", F.explode(T.ngrams(F.col(c), n)).alias("g")).groupBy("sample_id", "g").agg(F.count("*").alias(f"n_{c}"))
-    both = count("hyp").join(count("ref"), ["sample_id", "g"], "left")
-    out = both.agg(F.coalesce(F.sum(F.least("n_hyp", F.coalesce("n_ref", F.lit(0)))), F.lit(0)).alias("matched"), F.coalesce(F.sum("n_hyp"), F.lit(0)).alias("total"))
-    return out.select(F.lit(n).cast("long").alias("n"), "matched", "total", (F.coalesce(F.try_divide("matched", "total"), F.lit(0.0))).alias("precision"))
+def clipped(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """rows (sample_id, hyp, ref) -> n, matched, total, precision of each order.
+
+    One pass: grams of all orders and both sides are counted together by sample, so no sample is collected and nothing is joined."""
+    tagged = lambda n, side: lambda g: F.struct(F.lit(n).cast("long").alias("n"), g.alias("g"), F.lit(side).alias("side"))
+    grams = [F.transform(T.ngrams(F.col(c), n), tagged(n, side)) for n in orders for c, side in (("hyp", 1), ("ref", 0))]
+    each = rows.select("sample_id", F.explode(F.concat(*grams)).alias("x")).select("sample_id", "x.*")
+    both = each.groupBy("sample_id", "n", "g").agg(F.sum("side").alias("h"), F.sum(1 - F.col("side")).alias("r"))
+    out = both.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"))
+    every = rows.sparkSession.createDataFrame([(n,) for n in orders], "n long")
+    out = every.join(out, "n", "left").select("n", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("total", F.lit(0)).alias("total"))
+    return out.withColumn("precision", F.coalesce(F.try_divide("matched", "total"), F.lit(0.0)))
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.sum(F.size("hyp")).alias("h"), F.sum(F.size("ref")).alias("r"))
 
 
 def bleu(rows: DataFrame) -> DataFrame:
     """bleu1, bleu2, bleu4 with one brevity penalty and a floor of 1e-9."""
-    p = clipped(rows, 1)
-    for n in (2, 3, 4):
-        p = p.unionByName(clipped(rows, n))
+    p = clipped(rows)
     p = p.agg(*[F.max(F.when(F.col("n") == n, F.greatest("precision", F.lit(1e-9)))).alias(f"p{n}") for n in (1, 2, 3, 4)], F.max(F.when(F.col("n") == 1, F.col("precision"))).alias("raw1"))
-    size = rows.agg(F.sum(F.size("hyp")).alias("h"), F.sum(F.size("ref")).alias("r"))
     bp = F.when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.greatest("h", F.lit(1))))
     mean = lambda k: F.exp(sum((F.log(F.col(f"p{i}")) for i in range(1, k + 1)), F.lit(0.0)) / k)
-    return p.join(size).select((bp * F.col("raw1")).alias("bleu1"), (bp * mean(2)).alias("bleu2"), (bp * mean(4)).alias("bleu4"))
+    return p.join(sizes(rows)).select((bp * F.col("raw1")).alias("bleu1"), (bp * mean(2)).alias("bleu2"), (bp * mean(4)).alias("bleu4"))  # one row each
+
+
+def tokens_13a(text: Column) -> Column:
+    """Words by the 13a rules: signs apart, full stops and commas unless between digits, a hyphen after a digit."""
+    for old, new in (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.concat(F.lit(" "), text, F.lit(" "))
+    for pattern, new in fixed.TOKENS_13A:
+        text = F.regexp_replace(text, pattern, new)
+    return T.tokens(text)
+
+
+def bleu_13a(rows: DataFrame) -> DataFrame:
+    """rows (sample_id, hyp, ref: texts) -> bleu1 .. bleu4, each a corpus BLEU of its own highest order, to 4 places.
+
+    An order without a match counts as half, a quarter, ... of a match; one without any n-gram gives 0."""
+    words = rows.select("sample_id", tokens_13a(F.col("hyp")).alias("hyp"), tokens_13a(F.col("ref")).alias("ref"))
+    by = clipped(words).agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c[0]}{n}") for n in (1, 2, 3, 4) for c in ("matched", "total")])
+    bp = F.when(F.col("h") == 0, 0.0).when(F.col("h") >= F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.greatest("h", F.lit(1))))
+    out, logs, misses, whole = [], F.lit(0.0), F.lit(0), F.lit(True)
+    for n in (1, 2, 3, 4):
+        m, t = F.col(f"m{n}"), F.col(f"t{n}")
+        misses = misses + (m == 0).cast("int")
+        whole = whole & (t > 0)
+        logs = logs + F.log(F.when(m > 0, m).otherwise(F.pow(F.lit(2.0), -misses)) / F.greatest(t, F.lit(1)))
+        out.append(F.round(F.when(whole, bp * F.exp(logs / n)).otherwise(0.0), 4).alias(f"bleu{n}"))
+    return by.join(sizes(words)).select(*out)  # one row each
 
 
 def bleu_in_row(rows: DataFrame, n: int) -> DataFrame:
@@ -74,10 +109,77 @@ def diversity(rows: DataFrame, resp: str, marks: tuple[int, int] = (100, 500)) -
 
 
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
-    """The element at n // 2 of the sorted values, from counts by value."""
-    per = rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("rows"))
-    per = per.withColumns({"seen": F.sum("rows").over(Window.orderBy("value")), "total": F.sum("rows").over(Window.partitionBy())})
-    return per.filter(F.col("seen") > F.floor(F.col("total") / 2)).agg(F.min("value").cast("long").alias("upper_median"))
+    """The element at n // 2 of the sorted values. From the other end it is the lower median, which percentile_disc gives
+    from counts by value: no task sorts all values."""
+    found = F.expr(f"-percentile_disc(0.5) within group (order by -`{value}`)")
+    return rows.agg(found.cast("long").alias("upper_median"))
+
+
+def rates(rows: DataFrame, ids: str, unk: int = 1) -> DataFrame:
+    """n_samples, avg_resp_len, unk_rate, empty_rate over arrays of ids."""
+    n = F.greatest(F.count("*"), F.lit(1))
+    size, unknown = F.sum(F.size(ids)), F.sum(F.size(ids) - F.size(F.array_remove(ids, unk)))
+    return rows.agg(F.count("*").alias("n_samples"), F.round(size / n, 2).alias("avg_resp_len"), F.round(unknown / F.greatest(size, F.lit(1)), 4).alias("unk_rate"), F.round(F.count_if(F.size(ids) == 0) / n, 4).alias("empty_rate"))
+
+
+def collapse(rows: DataFrame, resp: str, limit: float = 0.20) -> DataFrame:
+    """top1_fraction, collapse_flag: how large a share the most frequent response has; an empty one counts as <EMPTY>."""
+    text = F.when(F.coalesce(F.col(resp), F.lit("")) == "", "<EMPTY>").otherwise(F.col(resp))
+    top = rows.groupBy(text.alias("t")).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("f"))
+    return top.select(F.round(F.coalesce("f", F.lit(0.0)), 4).alias("top1_fraction"), (F.coalesce("f", F.lit(0.0)) > limit).alias("collapse_flag"))
+
+
+def metric_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """metric and a column for each table (metric, value); a metric that a table lacks is null there."""
+    out = None
+    for name, df in tables.items():
+        df = df.select("metric", F.col("value").alias(name))
+        out = df if out is None else out.join(df, "metric", "full_outer")
+    return out
+
+
+def inference(rows: DataFrame, tokens: str, confidences: str, seconds: str, source: str, unk: int = 1) -> DataFrame:
+    """rows with metrics of one answer each: speed, latency, mean confidence, unknown pieces of the input, lengths."""
+    n, c = F.size(tokens), F.col(confidences)
+    return rows.withColumns({
+        "tokens_per_sec": F.round(n / F.greatest(F.col(seconds), F.lit(1e-6)), 1), "latency_ms": F.round(F.col(seconds) * 1000, 1),
+        "avg_confidence": F.round(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.size(c), F.lit(1)), 4),
+        "unk_in_input": F.size(source) - F.size(F.array_remove(source, unk)), "response_len": n, "input_tokens": F.size(source),
+    })
+
+
+def epoch_losses(batches: DataFrame) -> DataFrame:
+    """batches (model, epoch, loss) -> mean_loss over finite losses and perplexity exp(min(mean, 20)); 0 and 1 without any."""
+    finite = F.when(~F.isnan("loss") & (F.abs("loss") < float("inf")), F.col("loss"))
+    mean = F.coalesce(F.avg(finite), F.lit(0.0))
+    return batches.groupBy("model", "epoch").agg(mean.alias("mean_loss")).withColumn("perplexity", F.exp(F.least("mean_loss", F.lit(20.0))))
+
+
+def best_epochs(losses: DataFrame) -> DataFrame:
+    """model, best_epoch, best_loss: the first epoch of the least loss."""
+    best = F.min(F.struct("mean_loss", "epoch"))
+    return losses.groupBy("model").agg(best.alias("b")).select("model", F.col("b.epoch").alias("best_epoch"), F.col("b.mean_loss").alias("best_loss"))
+
+
+#: What is worth a flag in the statistics of a stage: metric, side of the limit that is flagged, limit, flag.
+VALIDATIONS = (
+    ("discard_pct", ">", 20.0, "high discard rate"), ("val_pct", "<", 3.0, "small validation split"), ("test_pct", "<", 3.0, "small test split"),
+    ("coverage_pct", "<", 95.0, "low coverage"), ("n_empty_ctx", ">", 0.0, "empty contexts"), ("n_empty_resp", ">", 0.0, "near-empty responses"),
+    ("diversity_ratio", "<", 0.3, "potential collapse"), ("at_cap_pct", ">", 5.0, "truncation bias"), ("over_100", ">", 50.0, "dominance risk"), ("over_500", ">", 0.0, "diversity filter"),
+    ("eot_pct", "<", 55.0, "separators missing"),
+)
+
+
+def validations(stats: DataFrame) -> DataFrame:
+    """stats (stage, metric, value) -> stage, metric, value, flag of each rule; the flag is ok where it holds, missing without a value."""
+    spark = stats.sparkSession
+    rules = spark.createDataFrame(VALIDATIONS, "metric string, side string, limit double, flag string")
+    broken = F.when(F.col("side") == ">", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
+    return stats.join(rules, "metric").select("stage", "metric", "value", F.when(F.col("value").isNull(), "missing").when(broken, F.col("flag")).otherwise("ok").alias("flag"))
+
+
+def yield_verdict(pct: Column, least: float = 40.0, most: float = 85.0) -> Column:
+    return F.when(pct < least, "low").when(pct > most, "high").otherwise("expected")
 
 
 def verdict(bleu1: Column, val_loss: Column, train_loss: Column, top1: Column, empty: Column, vocab: Column) -> Column:
@@ -110,6 +212,10 @@ def rouge_l(rows: DataFrame) -> DataFrame:
     return rows.select("sample_id", "hyp", "ref").mapInArrow(run, f"sample_id {rows.schema['sample_id'].dataType.simpleString()}, rouge_l double")
 
 
+def rouge_l_mean(rows: DataFrame) -> DataFrame:
+    return rouge_l(rows).agg(F.coalesce(F.avg("rouge_l"), F.lit(0.0)).alias("rouge_l"), F.count("*").alias("n"))
+
+
 def confidence(values: Column) -> Column:
     """struct: perplexity to 2 places and counts below .4, .6, .8 and from .8."""
     from ..functions.arrays import perplexity

@@ -15,6 +15,52 @@ def framed(turns: DataFrame, frame: int = 8) -> DataFrame:
     return turns.select("id", (F.row_number().over(inside) - 1).cast("long").alias("pos"), ctx.alias("ctx"), F.col("text").alias("resp")).filter("pos >= 1")
 
 
+def masked(made: DataFrame, turns: DataFrame) -> DataFrame:
+    """made (id, ctx, resp) with the names of the dialogue's speakers and of bots masked. Names are few in a dialogue."""
+    names = turns.groupBy("id").agg(F.collect_set(F.lower("speaker")).alias("names"))
+    hide = lambda c: T.mask_bots(T.mask_speakers(F.col(c), F.col("names")))
+    return made.join(names, "id").withColumns({"ctx": hide("ctx"), "resp": hide("resp")}).drop("names")
+
+
+def labelled(made: DataFrame, cap: int = 500, order: tuple[str, ...] = ("id", "pos"), **rules) -> DataFrame:
+    """made with reason: the first failing rule; after all others, a pair whose response `cap` kept pairs before it have."""
+    return labelled_again(made.withColumn("reason", discard_reason(**rules)), cap, order)
+
+
+def labelled_again(df: DataFrame, cap: int, order: tuple[str, ...] = ("id", "pos")) -> DataFrame:
+    """df (with reason) where kept pairs beyond the cap of their response get that label."""
+    kept = F.col("reason") == "kept"
+    rank = F.row_number().over(Window.partitionBy("resp", kept.alias("kept")).orderBy(*order))
+    return df.withColumn("reason", F.when(kept & (rank > cap), "diversity_cap").otherwise(F.col("reason")))
+
+
+def sentences(made: DataFrame) -> DataFrame:
+    """sentence: each pair's context and response, trimmed, without empty ones."""
+    return made.select(F.explode(F.array(F.trim("ctx"), F.trim("resp"))).alias("sentence")).filter("sentence <> ''")
+
+
+def encoded_stats(made: DataFrame) -> DataFrame:
+    """Counts over pairs of ids (ctx, resp): empty contexts, responses of sentinels alone, responses as long as the longest."""
+    df = made.select(F.size("ctx").alias("c"), F.size("resp").alias("r"))
+    by = df.groupBy("r").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") == 0).alias("empty"))
+    return by.agg(
+        F.sum("n").alias("n_scanned"), F.sum("empty").alias("n_empty_ctx"), F.sum(F.when(F.col("r") <= 2, F.col("n")).otherwise(0)).alias("n_empty_resp"),
+        F.round(F.sum("c") / F.sum("n"), 1).alias("ctx_mean"), F.round(F.sum(F.col("r") * F.col("n")) / F.sum("n"), 1).alias("resp_mean"), F.max_by("n", "r").alias("n_resp_at_cap"),
+    )
+
+
+def signals(made: DataFrame) -> DataFrame:
+    """signal, n, pct: what fires the command filter, in contexts and responses."""
+    fires = {"cmd_in_ctx": F.col("ctx").rlike(T.command_pattern()), "path_in_ctx": F.col("ctx").contains("__path__"), "cmd_in_resp": F.col("resp").rlike(T.command_pattern()), "path_in_resp": F.col("resp").contains("__path__")}
+    row = made.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in fires.items()])
+    return row.unpivot(["total"], list(fires), "signal", "n").select("signal", "n", F.round(100.0 * F.col("n") / F.greatest("total", F.lit(1)), 1).alias("pct"))
+
+
+def subsampled(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """A reproducible share of the rows, one at least; the limit is the feature."""
+    return sampled(df, key, max(1, int(df.count() * share)), seed)
+
+
 def discard_reason(min_ctx: int = 3, min_resp: int = 5, max_resp: int = 40, coherence: bool = True) -> Column:
     """First failing rule of a pair, or kept; the costly rules are last."""
     ctx, resp = F.col("ctx"), F.col("resp")

@@ -36,7 +36,7 @@ def dialogues(turns: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFr
     """(kept turns, reason by id). Rules in order: dates, turns, speakers, dominance, alternation, gaps."""
     dated = turns.filter("ts is not null")
     dates = dated.groupBy("id").agg(F.count("*").alias("n_dated"))
-    clean = dialogue.usable(dated)
+    clean = dialogue.usable(dated).withColumn("ord", F.struct("ts", "ord"))  # in time, and as given among equal times
     facts = turns.select("id").distinct().join(dates, "id", "left").join(dialogue.shape(clean), "id", "left").join(dialogue.gaps(clean.select("id", "ts"), c.hard_gap, c.soft_gap).select("id", F.col("reason").alias("gap_reason")), "id", "left")
     shape = F.coalesce(dialogue.reason(c.min_turns, c.dominance, c.alternation), F.lit("too_few_turns"))
     reason = F.when(F.coalesce("n_dated", F.lit(0)) < 2, "too_few_valid_dates").when(F.col("n").isNull(), "too_few_turns").when(shape != "kept", shape).otherwise(F.coalesce("gap_reason", F.lit("kept")))
@@ -48,7 +48,8 @@ def corpus(turns: DataFrame, c: Config = Config()) -> DataFrame:
     """split, id, pos, ctx, resp."""
     kept, _ = dialogues(turns, c)
     splits = dialogue.split_by_first(kept, c.train_until, c.val_until).select("id", "split")
-    made = pairs.framed(dialogue.merged(kept.select("id", "ord", "speaker", "text")), c.frame).join(splits, "id")
+    merged = dialogue.merged(kept.select("id", "ord", "speaker", "text"))
+    made = pairs.masked(pairs.framed(merged, c.frame), merged).join(splits, "id")
     made = made.filter(pairs.discard_reason(c.min_ctx, c.min_resp, c.max_resp, c.coherence) == "kept")
     train = pairs.capped(made.filter("split = 'train'"), c.cap)
     train = pairs.sampled(train.withColumn("key", F.concat_ws(":", "id", "pos")), "key", c.max_train_pairs).drop("key")

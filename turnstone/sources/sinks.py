@@ -34,3 +34,52 @@ def attention_long(rows: DataFrame) -> DataFrame:
     """sample_id, attn (array of arrays) -> sample_id, t, s, weight: what a heat map plots."""
     t = rows.select("sample_id", F.posexplode("attn").alias("t", "row"))
     return t.select("sample_id", "t", F.posexplode("row").alias("s", "weight"))
+
+
+def write_idx2word(vocab: DataFrame, path: str) -> None:
+    """One JSON object from ids to pieces; a vocabulary is small by its size parameter."""
+    pairs = vocab.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "piece")))).alias("m"))
+    pairs.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+
+
+def markdown(table: DataFrame, title: str) -> DataFrame:
+    """line, value: a heading and a table of a metric table's columns, metrics in order; missing values are dashes."""
+    names = [c for c in table.columns if c != "metric"]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("—")) for c in names]
+    from pyspark.sql import Window
+
+    rows = table.select(F.row_number().over(Window.orderBy("metric")).alias("k"), F.concat(F.lit("| "), F.concat_ws(" | ", "metric", *cells), F.lit(" |")).alias("value"))
+    head = [f"## {title}", "", "| Metric | " + " | ".join(c.capitalize() for c in names) + " |", "|" + "---|" * (len(names) + 1)]
+    top = table.sparkSession.createDataFrame(list(enumerate(head)), "line int, value string")
+    return top.unionByName(rows.select((F.col("k") + len(head) - 1).cast("int").alias("line"), "value"))
+
+
+def results_json(metrics: DataFrame) -> DataFrame:
+    """value: one JSON object of all metrics (metric, value), names in order."""
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
+    return metrics.agg(F.to_json(pairs).alias("value"))
+
+
+def append_scalars(rows: DataFrame, path: str) -> None:
+    """tag, step, value rows are added to the table; earlier ones stay."""
+    rows.select("tag", "step", "value").write.mode("append").parquet(path)
+
+
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """id, vec as rows of files in the NPY format, float32: one part for each task, in order of ids, each with its first id."""
+    import numpy as np
+    import pyarrow as pa
+
+    dim = matrix.select(F.size("vec")).first()[0]
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype="<f4").reshape(-1, dim)
+            header = f"{{'descr': '<f4', 'fortran_order': False, 'shape': ({len(rows)}, {dim}), }}"
+            header += " " * (-(len(header) + 11) % 64) + "\n"
+            whole = b"\x93NUMPY\x01\x00" + len(header).to_bytes(2, "little") + header.encode() + rows.tobytes()
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([whole], pa.binary())], names=["first", "npy"])
+
+    ordered = matrix.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange("id").sortWithinPartitions("id")
+    ordered.mapInArrow(run, "first long, npy binary").write.mode("overwrite").parquet(path)

@@ -69,3 +69,44 @@ def read_json(spark: SparkSession, path: str) -> DataFrame | None:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
+
+
+def read_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """at, value: the lines of text files in order, the first `most` alone if given (a bounded scan is the feature)."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    return lines if most is None else lines.orderBy("at").limit(most)
+
+
+def read_pair_array(spark: SparkSession, path: str) -> DataFrame:
+    """ctx, resp of a JSON document that is an array of pairs."""
+    return spark.read.schema("ctx string, resp string").option("multiLine", True).json(path)
+
+
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """id, vec of a matrix written by `sinks.write_matrix`; ids run on from the first of each part."""
+    import io
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, npy in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.load(io.BytesIO(npy.as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), pa.array(list(rows), pa.list_(pa.float32()))], names=["id", "vec"])
+
+    return spark.read.parquet(path).mapInArrow(run, "id long, vec array<float>")
+
+
+def inverted(vocab: DataFrame) -> DataFrame:
+    """One row with to_id (piece to id) and to_piece (id to piece) as maps; a vocabulary is small by its size parameter."""
+    both = vocab.agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("v"))
+    return both.select(F.map_from_entries(F.transform("v", lambda x: F.struct(x["piece"], x["id"]))).alias("to_id"), F.map_from_entries("v").alias("to_piece"))
+
+
+def pieces_of(rows: DataFrame, vocab: DataFrame, key: str, ids: str) -> DataFrame:
+    """key, pieces: an array of ids by a join with the vocabulary; an id that is not in it becomes <id>."""
+    each = rows.select(key, F.posexplode(ids).alias("at", "id")).join(vocab.select("id", "piece"), "id", "left")
+    piece = F.coalesce("piece", F.concat(F.lit("<"), F.col("id").cast("string"), F.lit(">")))
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece")))), lambda x: x["piece"]).alias("pieces"))

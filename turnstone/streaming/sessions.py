@@ -22,3 +22,23 @@ def session_counts(events: DataFrame, gap: str = "1 hour", late: str = "10 minut
 def cleaned(turns: DataFrame, column: str = "text") -> DataFrame:
     """Stateless cleaning works on streams as on tables."""
     return turns.withColumn(column, T.clean(F.col(column)))
+
+
+def replayed(spark: SparkSession, events: DataFrame, folder: str, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """All sessions of a finite stream, the open ones too, from a file sink.
+
+    Events are written into the watched folder and run to their end; then an event far ahead, of no user, moves the watermark past
+    every open session, and the stream is run on from its checkpoint."""
+    source, sink = f"{folder}/in", f"{folder}/out"
+
+    def run() -> None:
+        stream = spark.readStream.schema(events.schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = session_counts(stream, gap, late)
+        out.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    events.write.mode("append").parquet(source)
+    run()
+    ahead = events.agg((F.max("ts") + F.expr("interval 3650 days")).cast(events.schema["ts"].dataType).alias("ts"))
+    ahead.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]).write.mode("append").parquet(source)
+    run()
+    return spark.read.parquet(sink).filter("user_id is not null")
