@@ -365,14 +365,22 @@ def label_verdict(spark, sf_dir):
 
 @query("select item_id, count(doc_id) n_docs from benchmark left join documents on contains(documents.text, benchmark.text) group by item_id")
 def benchmark_contamination(spark, sf_dir):
-    """Documents that hold an item's whole text: items meet documents by the item's leading words, then the whole is compared."""
+    """Documents that hold an item's whole text. An item's words but its first and last are whole words of such a document: they meet by
+    up to `k` of these, then the whole is compared. Items of fewer than three words have none and are compared with every document."""
     k = 5
-    head = lambda w: F.array_join(F.slice(w, 1, k), " ")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), head(F.slice(T.tokens(F.col("text")), 2, k)).alias("head"))
-    heads = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " ")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), T.tokens(F.col("text")).alias("i"))
+    items = items.withColumn("k", F.greatest(F.lit(0), F.least(F.lit(k), F.size("i") - 2)))
+    items = items.withColumn("head", F.concat_ws(" ", F.col("k").cast("string"), F.array_join(F.slice("i", 2, F.col("k")), " ")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    wanted = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(heads)).alias("head")).join(items.select("head").distinct(), "head", "left_semi").join(items.drop("item"), "head").select("doc_id", "item_id").distinct()
-    hits = wanted.join(docs, "doc_id").join(items.select("item_id", "item"), "item_id").filter(F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", F.lit(str(n)), F.array_join(F.slice("w", i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    sizes = [r["k"] for r in items.filter("k > 0").select("k").distinct().collect()]  # k at most
+    whole = F.col("text").contains(F.col("item"))
+    hits = docs.join(items.filter("k = 0").select("item_id", "item"), whole).select("item_id", "doc_id")
+    if sizes:
+        heads = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sorted(sizes))))).alias("head"))
+        wanted = heads.join(items.select("item_id", "head"), "head").select("doc_id", "item_id").distinct()
+        hits = hits.unionByName(wanted.join(docs, "doc_id").join(items.select("item_id", "item"), "item_id").filter(whole).select("item_id", "doc_id"))
+    hits = hits.groupBy("item_id").agg(F.count("*").alias("n_docs"))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
@@ -410,20 +418,6 @@ def word2vec_vectors(spark, sf_dir):
     return vec.select("piece", F.size("vec").alias("dim"))
 
 
-@query()
-def stream_session_window(spark, sf_dir):
-    """The stream of events run to its end; what the closed sessions hold."""
-    import uuid
-
-    from .streaming import sessions
-
-    name = f"sessions_{uuid.uuid4().hex}"
-    out = sessions.session_counts(sessions.event_stream(spark, sf_dir), "12 hours")
-    run = out.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
-
-
 def stage_rows(spark, sf_dir):
     return dialogue.shape(turns(spark, sf_dir)).groupBy(dialogue.reason().alias("metric")).agg(F.count("*").cast("double").alias("value"))
 

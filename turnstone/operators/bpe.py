@@ -1,13 +1,14 @@
-"""Byte-pair vocabulary: words are counted in Spark, merges learned from the counted words, texts encoded in Arrow batches.
+"""Byte-pair vocabulary: words are counted in Spark, merges learned in rounds over the counted words, texts encoded in Arrow batches.
 
-Merges never cross words, so the distinct words with their counts are all that learning needs. They are the one thing that
-reaches the driver, bounded by `max_words` of the most frequent (a documented parameter; distinct words of a corpus grow
-slowly). Encoding is left to the learned table on the executors.
+Merges never cross words, so the distinct words with their counts are all that learning needs. They stay in Spark: each round
+counts neighbouring pieces over all words, and only the most frequent pairs of the round reach the driver. It merges
+those that can't overlap a more frequent one of the round (none begins with what another ends with), as long as they are at least
+`near` times as frequent as the first: their counts don't change by one another's merges. (One pair at a time would need a round for each
+piece; a merge that becomes frequent through another of the same round waits for the next.) Encoding is left to the learned table on the executors.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import stages
 
 SPECIALS = ("<pad>", "<unk>", "<s>", "</s>", "__url__", "__path__", "__ip__", "__cmd__", "__number__", "__eot__", "__user__")
 MARK = "▁"
@@ -57,40 +59,56 @@ class Bpe:
         return " ".join(out.replace(MARK, " ").split())
 
 
-def learn(texts: DataFrame, column: str, size: int = 16_000, max_words: int = 500_000) -> Bpe:
-    words = texts.select(F.explode(T.tokens(F.col(column))).alias("w")).filter(~F.col("w").isin(*SPECIALS)).groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words)
-    split = [(list(MARK + r["w"]), r["count"]) for r in words.toLocalIterator()]
-    letters = sorted({c for parts, _ in split for c in parts})
-    pieces, merges = [*SPECIALS, *letters], []
-    pairs: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for k, (parts, n) in enumerate(split):
-        for p in zip(parts, parts[1:]):
-            pairs[p] += n
-            where[p].add(k)
-    while len(pieces) < size and pairs:
-        best = max(pairs, key=lambda p: (pairs[p], p))
-        if pairs[best] < 2:
+def learn(texts: DataFrame, column: str, size: int = 16_000, batch: int = 256, near: float = 0.4) -> Bpe:
+    spark, folder = texts.sparkSession, stages.scratch(texts.sparkSession, "bpe")
+    words = texts.select(F.explode(T.tokens(F.col(column))).alias("w")).filter(~F.col("w").isin(*SPECIALS)).groupBy("w").agg(F.count("*").alias("n"))
+    letters = F.filter(F.split("w", ""), lambda c: c != "")
+    words.select(F.concat(F.array(F.lit(MARK)), letters).alias("parts"), "n").write.parquet(f"{folder}/0")
+    words = spark.read.parquet(f"{folder}/0")
+    pieces = [*SPECIALS, *sorted(r["c"] for r in words.select(F.explode("parts").alias("c")).distinct().collect())]
+    known, merges, k = set(pieces), [], 0
+    while len(known) < size:
+        each = words.select("n", F.explode(F.zip_with(F.expr("slice(parts, 1, size(parts) - 1)"), F.expr("slice(parts, 2, size(parts))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+        top = each.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "a", "b").limit(4 * batch).collect()
+        taken: list[tuple[str, str]] = []
+        begins: set[str] = set()
+        ends: set[str] = set()
+        for r in top:
+            if len(taken) >= batch or len(known) >= size or r["n"] < near * top[0]["n"]:
+                break
+            a, b, new = r["a"], r["b"], r["a"] + r["b"]
+            if a not in ends and b not in begins and new not in begins | ends:
+                taken.append((a, b))
+                begins.add(a)
+                ends.add(b)
+                known.add(new)
+        if not taken:
             break
-        merges.append(best)
-        pieces.append("".join(best))
-        for k in list(where[best]):
-            parts, n = split[k]
-            for p in zip(parts, parts[1:]):
-                pairs[p] -= n
-                where[p].discard(k)
-                if pairs[p] <= 0:
-                    del pairs[p]
-            i = 0
-            while i < len(parts) - 1:
-                if (parts[i], parts[i + 1]) == best:
-                    parts[i : i + 2] = ["".join(best)]
-                i += 1
-            for p in zip(parts, parts[1:]):
-                pairs[p] += n
-                where[p].add(k)
-        pairs.pop(best, None)
-    return Bpe(list(dict.fromkeys(pieces)), merges)
+        merges += taken
+        k += 1
+        joined(words, taken).filter(F.size("parts") > 1).write.parquet(f"{folder}/{k}")
+        words = spark.read.parquet(f"{folder}/{k}")
+    stages.cleaned_up(spark, folder, map(str, range(k + 1)))
+    return Bpe(list(dict.fromkeys([*pieces, *("".join(m) for m in merges)])), merges)
+
+
+def joined(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """words (parts, n) with the merges done, from the left."""
+    wanted = set(merges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column(0).to_pylist():
+                new, i = [], 0
+                while i < len(parts):
+                    pair = i + 1 < len(parts) and (parts[i], parts[i + 1]) in wanted
+                    new.append(parts[i] + parts[i + 1] if pair else parts[i])
+                    i += 1 + pair
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), batch.column(1)], names=["parts", "n"])
+
+    return words.mapInArrow(run, "parts array<string>, n long")
 
 
 def encoded(rows: DataFrame, model: Bpe, column: str, key: str) -> DataFrame:
