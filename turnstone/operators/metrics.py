@@ -18,10 +18,11 @@ def distinct_n(rows: DataFrame, array: str, n: int) -> DataFrame:
     return grams.agg(F.count_distinct("g").alias("n_unique"), F.count("*").alias("n_total")).withColumn("ratio", F.col("n_unique") / F.greatest("n_total", F.lit(1)))
 
 
-def clipped(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+def clipped(rows: DataFrame, orders: tuple[int, ...] | int = (1, 2, 3, 4)) -> DataFrame:
     """rows (sample_id, hyp, ref) -> n, matched, total, precision of each order.
 
     One pass: grams of all orders and both sides are counted together by sample, so no sample is collected and nothing is joined."""
+    orders = (orders,) if isinstance(orders, int) else orders
     tagged = lambda n, side: lambda g: F.struct(F.lit(n).cast("long").alias("n"), g.alias("g"), F.lit(side).alias("side"))
     grams = [F.transform(T.ngrams(F.col(c), n), tagged(n, side)) for n in orders for c, side in (("hyp", 1), ("ref", 0))]
     each = rows.select("sample_id", F.explode(F.concat(*grams)).alias("x")).select("sample_id", "x.*")
