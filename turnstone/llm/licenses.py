@@ -7,7 +7,7 @@ template's words are matched, and where.
 
 Defined results: a null or empty text, or one without a match, gives one row with no license; matches of one template that
 overlap are reported once, by the better; a match within one of more matched words (an opening in its text, GPL in LGPL) is
-left out; repeated rows have equal results; an empty table gives no rows; other columns are
+left out; a template of fewer than three words is looked up whole, one without words never matches; repeated rows have equal results; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"\w+")
-WINNOW, BAND, LEAST = 2, 8, 0.75
+GRAM, WINNOW, BAND, LEAST = 3, 2, 8, 0.75
 #: Notices and opening texts of common licenses.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -67,7 +67,10 @@ def index_of(templates: dict[str, str]) -> tuple[dict[str, list[str]], dict[tupl
     tokens = {k: TOKEN.findall(v.lower()) for k, v in templates.items()}
     index: dict[tuple[str, ...], list[tuple[str, int]]] = defaultdict(list)
     for name, t in tokens.items():
-        grams = list(zip(t, t[1:], t[2:]))
+        n = min(GRAM, len(t))  # a template of fewer words is a gram itself
+        grams = list(zip(*(t[i:] for i in range(n))))
+        if not grams:
+            continue
         sums = [zlib.crc32(" ".join(g).encode()) for g in grams]
         picked = {min(range(i, min(i + WINNOW, len(sums))), key=lambda j: (sums[j], -j)) for i in range(max(1, len(sums) - WINNOW + 1))}
         for i in sorted(picked):
@@ -91,22 +94,30 @@ def aligned(a: list[str], b: list[str], shift: int, band: int = BAND) -> tuple[i
     return max(before.values(), default=(0, 0, 0), key=lambda v: v[0])
 
 
-def scan(text: str | None, tokens: dict, index: dict) -> list[tuple[str, float, int, int]]:
+def scan(text: str | None, tokens: dict, index: dict, sizes: tuple[int, ...] = ()) -> list[tuple[str, float, int, int]]:
+    """(license, coverage, start, end) of each match; sizes are the lengths of the index's grams."""
     lower = (text or "").lower()
     words = TOKEN.findall(lower)
-    hits = [(i, index[g]) for i, g in enumerate(zip(words, words[1:], words[2:])) if g in index]
+    sizes = sizes or tuple(sorted({len(g) for g in index}))
+    hits = [(i, index[g]) for n in sizes for i, g in enumerate(zip(*(words[k:] for k in range(n)))) if g in index]
     if not hits:
         return []
-    votes = sorted({(name, i - at) for i, places in hits for name, at in places})
+    votes: dict[tuple[str, int], int] = {}  # a template and a diagonal: the last place of a hit
+    for i, places in hits:
+        for name, at in places:
+            votes[name, i - at] = max(i, votes.get((name, i - at), 0))
     found = []
-    last: dict[str, int] = {}
-    for name, shift in votes:
-        if name in last and shift - last[name] <= BAND // 2:
-            continue  # the band of the last alignment holds this diagonal
-        last[name] = shift
-        n, first, stop = aligned(tokens[name], words, shift)
-        if n >= LEAST * len(tokens[name]) and stop - first < len(tokens[name]) + 2 * BAND:
-            found.append((n / len(tokens[name]), name, first, stop))
+    done: dict[str, tuple[int, int]] = {}  # by template, the last diagonal and where its match ended (-1: none)
+    for (name, shift), last in sorted(votes.items()):
+        before, end = done.get(name, (shift - BAND, -1))
+        if last <= end or (end < 0 and shift - before <= BAND // 2):
+            continue  # its hits are in the last match, or the band of the last alignment held them
+        skip = end + 1  # copies may follow closely: what is matched is not matched again
+        n, first, stop = aligned(tokens[name], words[skip:], shift - skip)
+        ok = n >= LEAST * len(tokens[name]) and stop - first < len(tokens[name]) + 2 * BAND
+        done[name] = (shift, max(end, stop + skip) if ok else end)
+        if ok:
+            found.append((n / len(tokens[name]), name, first + skip, stop + skip))
     if not found:
         return []
     spans = [m.span() for m in TOKEN.finditer(text if len(text) == len(lower) else lower)]
@@ -122,10 +133,11 @@ def scan(text: str | None, tokens: dict, index: dict) -> list[tuple[str, float,
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     tokens, index = index_of(templates or TEMPLATES)
+    sizes = tuple(sorted({len(g) for g in index}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key.as_py(), *x) for key, text in zip(batch.column(0), batch.column(1)) for x in scan(text.as_py(), tokens, index) or [(None, None, None, None)]]
+            rows = [(key.as_py(), *x) for key, text in zip(batch.column(0), batch.column(1)) for x in scan(text.as_py(), tokens, index, sizes) or [(None, None, None, None)]]
             kinds = [batch.column(0).type, pa.string(), pa.float64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["doc_id", "license", "coverage", "start", "end"])
