@@ -2,8 +2,10 @@
 
 No piece of the model has white-space markers after another character, so no piece and no merge crosses the place where a
 marker follows another character. Each text is cut there; each distinct marked word is segmented once into the table of
-its task, and ids are joined back by position. The table is emptied at `table_size` chunks to bound memory; what is
-emptied is segmented again, so results don't depend on it. `check_model` refuses models for which the cut isn't exact.
+its task, and ids are joined back by position. (One table for the corpus would be a departure the other way: every position of every
+text would be shuffled to its word and back, some ten times the input; a table for each task segments common words once a task
+and moves nothing.) The table is emptied at `table_size` chunks or `table_chars` characters to bound memory, and chunks of more than `long_chunk`
+characters are not kept in it; what is not kept is segmented again, so results don't depend on it. `check_model` refuses models for which the cut isn't exact.
 
 Defined results: a null text is empty; an empty text has the begin and end ids alone; texts of any length are whole;
 repeated rows have equal results; an empty table gives no rows; other columns are kept as they are unless they have a
@@ -36,10 +38,11 @@ def check_model(model) -> None:
 
 
 class ChunkTable:
-    def __init__(self, path: str, table_size: int = 500_000):
+    def __init__(self, path: str, table_size: int = 500_000, table_chars: int = 20_000_000, long_chunk: int = 1000):
         from sentencepiece import SentencePieceProcessor
 
-        self.model, self.table_size = SentencePieceProcessor(model_file=path), table_size
+        self.model, self.table_size, self.table_chars, self.long_chunk = SentencePieceProcessor(model_file=path), table_size, table_chars, long_chunk
+        self.chars = 0
         check_model(self.model)
         self.ids: dict[str, list[int]] = {}
         self.begin, self.end = [self.model.bos_id()], [self.model.eos_id()]
@@ -48,15 +51,22 @@ class ChunkTable:
         if not text:
             return np.array(self.begin + self.end, dtype="<u4")
         chunks = CHUNK.findall(" " + text)
-        if len(self.ids) > self.table_size:
+        if len(self.ids) > self.table_size or self.chars > self.table_chars:
             self.ids.clear()
+            self.chars = 0
         new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
         if new:  # the library puts the first marker itself
             self.ids.update(zip(new, self.model.encode([c[1:].replace(MARK, " ") for c in new], num_threads=1)))
             if " " in new or MARK in new:  # a lone marker: the library gives none for an empty text
                 lone = [self.model.piece_to_id(MARK)]
                 self.ids.update({c: lone for c in (" ", MARK) if c in new})
-        return np.array(list(chain(self.begin, *map(self.ids.__getitem__, chunks), self.end)), dtype="<u4")
+            self.chars += sum(map(len, new))
+        out = np.array(list(chain(self.begin, *map(self.ids.__getitem__, chunks), self.end)), dtype="<u4")
+        for c in new:
+            if len(c) > self.long_chunk:
+                del self.ids[c]
+                self.chars -= len(c)
+        return out
 
 
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
