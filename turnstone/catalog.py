@@ -25,7 +25,11 @@ def query(sql: str | None = None):
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Documents in fewer row groups than there are cores (a small file) are dealt over all cores; larger tables are read as they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and df._jdf.rdd().getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        return df.repartition(cores)
+    return df
 
 
 def turns(spark, sf_dir: str) -> DataFrame:
