@@ -55,8 +55,8 @@ def sql_clean(x: str) -> str:
         t = f"regexp_replace({t}, {quoted(pattern)}, '{new}', '{flags}')"
     t = f"regexp_replace(lower({t}), {quoted(fixed.ADDRESS)}, '')"
     t = f"coalesce(array_to_string(list_transform({WORDS(t)}, lambda w: coalesce({CONTRACTED}[w], w)), ' '), '')"
-    for pattern, new in ((r"[^a-z0-9 '\-_.]+", " "), (r"\.{2,}", "."), (r"([a-z0-9])\.(\s|$)", r"\1 .\2")):
-        t = f"regexp_replace({t}, {quoted(pattern)}, '{new}', 'g')"
+    for pattern, new in fixed.CLEANUP:
+        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(new.replace('$', chr(92)))}, 'g')"
     return f"coalesce(array_to_string(list_filter(list_transform({WORDS(t)}, lambda w: ltrim(w, '''')), lambda w: w <> ''), ' '), '')"
 
 

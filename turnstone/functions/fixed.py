@@ -35,16 +35,19 @@ NICK = r"^<[^>]+>\s*"
 ADDRESS = r"^[a-z][a-z0-9_\-\[\]\\^{}|`]{1,25}\s*[:,]\s*"
 ACTION = r"^\*\s*\S+\s+"
 SPEAKER_SPECIAL = r"[\d_\-\[\]\\^{}|`]"
+#: What `clean` does last, in order: pattern and replacement, with groups as $1, $2.
+CLEANUP = ((r"[^a-z0-9 '\-_.]+", " "), (r"\.{2,}", "."), (r"([a-z0-9])\.(\s|$)", "$1 .$2"))
 PLACEHOLDERS = r"^(__url__|__path__|__ip__|__cmd__|__number__|__user__|\s)+$"
 PASTE_SPECIAL = "[]{}()=<>|;:@#$%^&*\\/"
 
 COMMANDS = (
-    "sudo apt-get apt dpkg dpkg-reconfigure snap add-apt-repository apt-key chmod chown ls ll mkdir rm cp mv find locate ln touch "
-    "grep cat sed awk sort uniq wc head tail less more cut tee xargs tar gzip gunzip unzip wget curl nano vim vi emacs "
-    "kill ps top htop service systemctl pkill ping ifconfig ip netstat ss ufw iptables ssh nc dig nslookup "
-    "df du mount umount fdisk parted mkfs fsck lsblk export echo source adduser useradd usermod passwd su chroot "
-    "make gcc crontab screen tmux lsof strace update-grub pip bash sh"
-).split()
+    "sudo", "apt-get", "apt", "dpkg", "dpkg-reconfigure", "snap", "add-apt-repository", "apt-key", "chmod", "chown", "ls", "ll", "mkdir", "rm", "cp",
+    "mv", "find", "locate", "ln", "touch", "grep", "cat", "sed", "awk", "sort", "uniq", "wc", "head", "tail", "less", "more", "cut", "tee", "xargs",
+    "tar", "gzip", "gunzip", "unzip", "wget", "curl", "nano", "vim", "vi", "emacs", "kill", "ps", "top", "htop", "service", "systemctl", "pkill", "ping",
+    "ifconfig", "ip", "netstat", "ss", "ufw", "iptables", "ssh", "nc", "dig", "nslookup", "df", "du", "mount", "umount", "fdisk", "parted", "mkfs",
+    "fsck", "lsblk", "export", "echo", "source", "adduser", "useradd", "usermod", "passwd", "su", "chroot", "make", "gcc", "crontab", "screen", "tmux",
+    "lsof", "strace", "update-grub", "pip", "bash", "sh",
+)
 
 QUESTIONS = {
     "how_do": r"\bhow (do|can|to|would|should|did) (i|you|we|one)\b",
@@ -65,10 +68,11 @@ QUESTIONS = {
 }
 
 STOPWORDS = (
-    "that this with have from they will been would could should there their what when which your also into more some such about just "
-    "then than here does like very even most over only same each make much come want need know think look time back after where while "
-    "through however because these those other them were shall still again being going doing using something anything"
-).split()
+    "that", "this", "with", "have", "from", "they", "will", "been", "would", "could", "should", "there", "their", "what", "when", "which", "your", "also",
+    "into", "more", "some", "such", "about", "just", "then", "than", "here", "does", "like", "very", "even", "most", "over", "only", "same", "each",
+    "make", "much", "come", "want", "need", "know", "think", "look", "time", "back", "after", "where", "while", "through", "however", "because", "these",
+    "those", "other", "them", "were", "shall", "still", "again", "being", "going", "doing", "using", "something", "anything",
+)
 
 CONTRACTIONS = {
     "i'm": "i am", "i've": "i have", "i'll": "i will", "i'd": "i would", "you're": "you are", "you've": "you have", "you'll": "you will",

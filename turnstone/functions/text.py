@@ -28,7 +28,7 @@ def clean(text: Column) -> Column:
     t = F.regexp_replace(F.lower(t), fixed.ADDRESS, "")
     table = F.create_map(*map(F.lit, chain.from_iterable(fixed.CONTRACTIONS.items())))
     t = F.array_join(F.transform(tokens(t), lambda w: F.coalesce(table[w], w)), " ")
-    for pattern, new in ((r"[^a-z0-9 '\-_.]+", " "), (r"\.{2,}", "."), (r"([a-z0-9])\.(\s|$)", "$1 .$2")):
+    for pattern, new in fixed.CLEANUP:
         t = F.regexp_replace(t, pattern, new)
     return F.trim(F.array_join(F.filter(F.transform(tokens(t), lambda w: F.regexp_replace(w, "^'+", "")), lambda w: w != ""), " "))
 
