@@ -91,6 +91,16 @@ def usable_turns(spark, sf_dir):
     return dialogue.usable(scenes(spark, sf_dir).filter("ts is not null")).select("id", "ord", "speaker", "text")
 
 
+UNDATED = f"""with b as ({TALK}) select id, count(*) n_turns, string_agg(cast(ord as varchar), ' ' order by case when ord % 4 = 0 then 1 else 0 end, case when ord % 4 = 0 then null else real_ts end, ord) ords from b group by id"""
+
+
+@query(UNDATED)
+def dialogue_group_dated(spark, sf_dir):
+    """Dialogues in order of time; turns without a time come last, as given."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") * 4 + F.col("event_id") % 4).alias("id"), F.col("event_id").alias("ord"), F.when(F.col("event_id") % 4 != 0, F.col("ts")).alias("ts"), F.col("event_type").alias("speaker"), F.lit("").alias("text"))
+    return dialogue.grouped(e).select("id", "n_turns", F.array_join(F.transform("turns", lambda x: x["ord"].cast("string")), " ").alias("ords"))
+
+
 RUNS = """with t as (select conv_id id, turn ord, case when (conv_id + turn) % 3 = 0 then 'B' else lower(substr('aA', cast(turn % 2 + 1 as integer), 1)) end speaker,
     case when turn % 5 = 3 then regexp_extract(text, '[A-Za-z]+') else array_to_string(string_split(text, ' ')[1:6], ' ') end as text from conversations),
     i as (select *, case when lower(speaker) = lag(lower(speaker)) over (partition by id order by ord) then 0 else 1 end new from t),
@@ -371,6 +381,40 @@ def stage_cache(spark, sf_dir):
     return spark.createDataFrame(rows, "run string, n long, made int")
 
 
+@query("select unnest(['there', 'missing']) as document, unnest([count(*), null]) as n, unnest([cast(sum(n_nationkey) as bigint), null]) as total from nation")
+def json_document(spark, sf_dir):
+    """A JSON document is loaded; a missing one is None."""
+    out = stages.scratch(spark, "document")
+    nations(spark, sf_dir).agg(F.collect_list("id").alias("ids")).write.json(out)
+    missing = sources.read_json(spark, f"{out}-missing")
+    there = sources.read_json(spark, out).select(F.lit("there").alias("document"), F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("total"))
+    none = spark.createDataFrame([("missing", None, None)], "document string, n long, total long")
+    return there.unionByName(none) if missing is None else there
+
+
+@query("select 'm' || n_nationkey as id, n_name as name, 'lstm' as architecture, 'best_' || n_nationkey as checkpoint from nation")
+def registry_file(spark, sf_dir):
+    """The registry of models: a JSON array of objects, read with its fields; fields that are not given are null."""
+    out = stages.scratch(spark, "registry")
+    key = F.col("id").cast("string")
+    rows = nations(spark, sf_dir).agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("m"), key).alias("id"), F.col("piece").alias("name"), F.lit("lstm").alias("architecture"), F.concat(F.lit("best_"), key).alias("checkpoint")))).alias("value"))
+    rows.write.text(out)
+    return sources.read_registry(spark, out).filter("tokenizer is null and dataset is null and description is null").select("id", "name", "architecture", "checkpoint")
+
+
+@query("select 'b.csv' as name")
+def largest_file(spark, sf_dir):
+    """Of a folder's CSV files the largest is read; the first by name among equals."""
+    folder = stages.scratch(spark, "discovered")
+    for name, size in (("a.csv", 10), ("b.csv", 30), ("c.csv", 30), ("d.txt", 99)):
+        store, at = stages.hadoop_path(spark, f"{folder}/{name}")
+        file = store.create(at)
+        file.write(bytearray(b"x" * size))
+        file.close()
+    path = sources.largest_csv(spark, folder)
+    return spark.createDataFrame([(path.rsplit("/", 1)[-1],)], "name string")
+
+
 # --- reports ---
 
 

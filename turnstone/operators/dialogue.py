@@ -10,8 +10,9 @@ from ..functions import text as T
 
 
 def grouped(turns: DataFrame) -> DataFrame:
-    """turns (id, ord, speaker, text) -> id, turns array in order, n_turns, n_speakers."""
-    return turns.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "speaker", "text"))).alias("turns"), F.count("*").alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"))
+    """turns (id, ord, speaker, text) -> id, turns array in order, n_turns, n_speakers. With ts, in order of time; undated turns are last."""
+    place = [F.col("ts").isNull().alias("undated"), "ts"] if "ts" in turns.columns else []
+    return turns.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*place, "ord", "speaker", "text"))).alias("turns"), F.count("*").alias("n_turns"), F.count_distinct("speaker").alias("n_speakers"))
 
 
 def usable(turns: DataFrame) -> DataFrame:
