@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a table in the shared folder. Unlike a checkpoint's, its size is known: a join broadcasts it if it is small."""
+    out = fresh_dir(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

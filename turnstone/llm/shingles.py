@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 from .simhash import BITS, SEED, connected, walk
 
 WIDTH = 5
@@ -83,9 +83,9 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("c").agg(F.min("t").alias("t"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("first_id"))
 
 
-def postings_of(classes: DataFrame) -> DataFrame:
-    """(s, c, n, fp, anchors, size) of the anchors that more than one set has; size is how many have it."""
-    each = classes.filter("n > 0").select("c", "n", "fp", F.explode("sketch").alias("s"))
+def anchored(classes: DataFrame) -> DataFrame:
+    """(c, n, fp, anchors) of each set with any."""
+    each = classes.filter("n > 0").select("c", F.explode("sketch").alias("s"))
     common = cut(each.groupBy("s").agg(F.count("*").alias("size")).filter(F.col("size") > HOT))
     late = each.join(common.select("s"), "s").groupBy("c").agg(F.collect_list("s").alias("late"))  # at most SKETCH
     held = classes.filter("n > 0").join(late, "c", "left")
@@ -93,10 +93,14 @@ def postings_of(classes: DataFrame) -> DataFrame:
     # the sketch is in order of the unsigned hash; both parts keep it
     ordered = F.concat(F.filter("sketch", lambda s: ~F.array_contains(late, s)), F.filter("sketch", lambda s: F.array_contains(late, s)))
     first = F.least(F.lit(ANCHORS), F.floor(F.col("n") / 5).cast("int") + 1)
-    held = cut(held.select("c", "n", "fp", F.slice(ordered, F.lit(1), first).alias("anchors")))
-    each = held.select("c", "n", "fp", "anchors", F.explode("anchors").alias("s"))
+    return cut(held.select("c", "n", "fp", F.slice(ordered, F.lit(1), first).alias("anchors")))
+
+
+def postings_of(held: DataFrame) -> DataFrame:
+    """(s, c, n, fp, size) of the anchors that more than one set has; size is how many have it."""
+    each = held.select("c", "n", "fp", F.explode("anchors").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("size")).filter("size > 1")
-    return cut(each.join(shared, "s").select("s", "c", "n", "fp", "anchors", "size"))
+    return cut(each.join(shared, "s").select("s", "c", "n", "fp", "size"))
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -106,7 +110,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["c", "set"])
 
-    texts = docs.select(text_key(F.col("text")).alias("t"), "text").join(wanted, "t").dropDuplicates(["c"])
+    texts = docs.select(text_key(F.col("text")).alias("t"), "text").join(written(wanted, "wanted"), "t").dropDuplicates(["c"])
     return texts.select("c", "text").mapInArrow(run, "c long, set binary")
 
 
@@ -152,7 +156,7 @@ def starred(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFra
     return cut(pairs.join(second, "v").join(first, "u").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long"))
 
 
-def dealt(postings: DataFrame, roots: DataFrame) -> DataFrame:
+def dealt(postings: DataFrame, roots: DataFrame, anchors: DataFrame) -> DataFrame:
     """(s, lo, hi, side, c, n, fp, anchors, root): sets of different components that share an anchor, by pairs of blocks.
 
     An anchor of up to BLOCK sets is one block. Of a larger one, the sets of its largest component need not be compared with each
@@ -169,7 +173,7 @@ def dealt(postings: DataFrame, roots: DataFrame) -> DataFrame:
     salt = F.xxhash64("c")
     block = F.when(in_major, F.col("m") + F.pmod(salt, F.greatest(F.col("more"), F.lit(1)))).otherwise(F.pmod(salt, F.col("m"))).cast("int")
     last = F.when(in_major, F.col("m")).otherwise(F.col("m") + F.col("more")) - 1
-    held = held.withColumns({"b": block, "last": last}).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    held = held.withColumns({"b": block, "last": last}).join(anchors, "c").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return held.select("s", F.least("b", "p").alias("lo"), F.greatest("b", "p").alias("hi"), (F.col("b") > F.col("p")).cast("int").alias("side"), "c", "n", "fp", "anchors", "root")
 
 
@@ -276,9 +280,10 @@ def found_in_tasks(docs: DataFrame, classes: DataFrame, tasks: DataFrame) -> Dat
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): similar pairs of sets that connect all that are connected by such pairs."""
-    postings = postings_of(classes)
+    held = anchored(classes)
+    postings = postings_of(held)
     stars = starred(docs, classes, postings)
-    return stars.unionByName(found_in_tasks(docs, classes, dealt(postings, connected(stars))))
+    return stars.unionByName(found_in_tasks(docs, classes, dealt(postings, connected(stars), held.select("c", "anchors"))))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -292,7 +297,11 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows with equal ids, one stays. Rows without an id stay."""
-    found = components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).filter("doc_id is not null").join(found, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The rows of docs whose id is their component's smallest; of rows with equal ids, one stays. Rows without an id stay.
+
+    Only rows with an id of several are compared by it, so that texts of the others need no sort."""
+    found = cut(components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n")).filter("first = 1").select("doc_id", "n"))
+    single = written(found.filter("n = 1").select("doc_id"), "single")
+    kept = docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    repeated = found.filter("n > 1").select("doc_id")
+    return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
