@@ -8,6 +8,7 @@ from .licenses import op6_licenses
 from .media import op2_media
 from .mixing import op7_mixing
 from .ngrams import op12_perplexity
+from .phrases import op13_collocations
 from .quality import op3_quality
 from .resampling import op11_resampling
 from .secrets import op10_secrets
@@ -17,7 +18,7 @@ from .urls import op8_urls
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_quality, op4_sentencepiece, op5_chat, op6_licenses, op7_mixing, op8_urls, op9_html, op10_secrets, op11_resampling, op12_perplexity)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_quality, op4_sentencepiece, op5_chat, op6_licenses, op7_mixing, op8_urls, op9_html, op10_secrets, op11_resampling, op12_perplexity, op13_collocations)}
 
 
 OP5 = """with r as (select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text,
