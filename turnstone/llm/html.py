@@ -1,14 +1,14 @@
 """HTML extraction by minimum-cut labelling.
 
-A page is parsed into blocks of text and regions: a region begins at an element whose tag, role or names speak for content or
-boilerplate. A logistic classifier of a block's own text (length, links, sentence end, heading) gives log-odds, bounded by `SURE`;
-these are its capacity to a terminal. A region's capacity is its evidence times its blocks, and a block outside any region has
-less of it where the page has content regions. Smoothness edges join each block to its region, neighbours in page order and
-nearest blocks under one parent, the stronger the nearer they are in the DOM. The minimum cut (Dinic) separates content from boilerplate;
-content blocks in page order are the text. The classifier alone is often wrong (a short paragraph of an article, a sentence in
-an advert); `labelled` tells how it and the cut judge each block.
+A page is parsed into blocks of text. A logistic classifier gives a block's log-odds of being content, from its text (length, links, sentence end,
+heading) and from what the tags, roles and names around it speak for (content, boilerplate, neither in a page that has content); bounded by `SURE`, these are its
+capacity to a terminal. Smoothness edges join neighbours in page order, the stronger the nearer they are in the DOM, and
+the nearest blocks under one parent, whatever their names speak for. The minimum cut (Dinic) separates content from boilerplate; content blocks in
+page order are the text. So a short paragraph follows its neighbours, a list of links leaves its article, and an article whose names
+are missing or sound like boilerplate is kept by its text.
 
-The classifier's weights are fitted (`fit`) on blocks of which the region is known, of at most `sample` pages in order of id.
+The weights are fitted (`fit`) on blocks whose tags and names are known, after those of some regions are taken away or turned round: so the fit
+learns how far names can be trusted, and what a text says without them. `labelled` tells how the classifier alone and the cut judge each block.
 
 Defined results: a null or empty page has the text ""; scripts, styles, comments and the head are never text; unclosed or
 stray tags are tolerated; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
@@ -21,6 +21,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,23 +42,24 @@ OWN_HEADER = re.compile(r"^(?:article|entry|post|story)[_-]+(?:header\w*|banner)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu".split())
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Fitted by `fit` on the pages table of 2,500 rows: bias, logarithm of the length, share of linked characters, sentence end, heading.
-WEIGHTS = (0.78, 0.5, -8.83, -1.47, 4.55)
-#: Most that a block's text counts; what a region's evidence counts for each of its blocks; how fast a block is to its region; what counts
-#: against a block outside of all regions if the page has content regions; neighbours in one region, across regions, under one parent.
-SURE, REGION, INSIDE, OUTSIDE, NEXT, ACROSS, SIBLING = 3.5, 6.0, 6.0, 2.0, 0.8, 0.2, 0.3
+#: Fitted by `fit` on the pages table of 2,500 rows, those with even ids: see `features`.
+WEIGHTS = (-0.48, 0.76, -6.26, -1.13, 4.26, 2.02, -2.28, -0.21, -2.12)
+#: Most that the classifier counts; edges between neighbours two steps apart in the DOM (siblings), and to the last block under one parent;
+#: characters for which a block's capacity grows by its own size once more, and how often at most: what is long costs more to get wrong.
+SURE, NEXT, SIBLING, LENGTH, LONGEST = 4.0, 1.2, 0.4, 50, 10
 
 
 class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int, int, int, int]] = []  # tag, place (see placed), silent depth, node, blocks so far, region
+        self.stack: list[tuple[str, int, int, int, int, int]] = []  # tag, place (see placed), silent depth, box (nearest block element), blocks so far, region
         self.open: dict[str, list[int]] = {}  # places of a tag's open elements in the stack, so that an end tag needs no search
-        self.closed = 0  # inline tags closed within the stack; they stay there without a tag
         self.nodes = 0
+        self.boxes = {0: (0, 0)}  # parent and depth of each block element
+        self.last = 0  # box of the block before
         self.texts: list[str] = []
         self.linked = self.total = 0
-        self.out: list[tuple[str, int, float, int, int, int, bool]] = []  # text, place, share of linked characters, parent, depth, region, heading
+        self.out: list[tuple[str, int, float, int, int, int, bool]] = []  # text, place, share of linked characters, parent, steps from the block before, region, heading
         self.has_content = False
 
     def close_from(self, i: int) -> None:
@@ -65,18 +67,28 @@ class Blocks(HTMLParser):
             tag = self.stack.pop()[0]
             if tag:
                 self.open[tag].pop()
-            else:
-                self.closed -= 1
 
     def flush(self) -> None:
         if self.texts:
             text = " ".join("".join(self.texts).split())
             if text:
-                _, place, _, node, _, region = self.stack[-1] if self.stack else ("", 0, 0, 0, 0, 0)
+                _, place, _, box, _, region = self.stack[-1] if self.stack else ("", 0, 0, 0, 0, 0)
                 heading = any(self.open.get(h) for h in HEADINGS)
-                self.out.append((text, place, self.linked / max(1, self.total), node, len(self.stack) - self.closed, region, heading))
+                self.out.append((text, place, self.linked / max(1, self.total), self.boxes[box][0], self.steps(self.last, box), region, heading))
+                self.last = box
             self.texts, self.linked, self.total = [], 0, 0
 
+    def steps(self, a: int, b: int) -> int:
+        """Edges of the DOM between two block elements. Between neighbours in page order each element is passed once up and once down."""
+        n = 0
+        while a != b:
+            if self.boxes[a][1] >= self.boxes[b][1]:
+                a = self.boxes[a][0]
+            else:
+                b = self.boxes[b][0]
+            n += 1
+        return n
+
     def placed(self, tag: str, above: int, names: str, role: str) -> int:
         """1 content, 0 neither, -1 boilerplate by tag or role, -2 by name only, 2 an article or main within the latter.
 
@@ -106,8 +118,12 @@ class Blocks(HTMLParser):
         self.has_content |= place == 1
         self.nodes += 1
         hidden = tag in SILENT or "hidden" in given
+        box = at[3]
+        if tag in BLOCKS:
+            box = self.nodes
+            self.boxes[box] = (at[3], self.boxes[at[3]][1] + 1)
         self.open.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, place, at[2] + hidden, self.nodes, at[4] + (tag in BLOCKS), at[5] if place == at[1] else self.nodes))
+        self.stack.append((tag, place, at[2] + hidden, box, at[4] + (tag in BLOCKS), at[5] if place == at[1] else self.nodes))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -119,7 +135,6 @@ class Blocks(HTMLParser):
         if tag not in BLOCKS and self.stack[-1][4] > self.stack[i][4]:  # an inline tag that outlived its block
             places.pop()
             self.stack[i] = ("", *self.stack[i][1:])
-            self.closed += 1
         else:
             self.close_from(i)
 
@@ -132,20 +147,35 @@ class Blocks(HTMLParser):
         self.linked += n * bool(self.open.get("a"))
 
 
-def features(block: tuple) -> tuple[float, ...]:
-    text, links, heading = block[0], block[2], block[6]
-    return 1.0, math.log(len(text)), links, float(text.endswith((".", "!", "?", "…", "。"))), float(heading)
+def features(block: tuple, has_content: bool) -> tuple[float, ...]:
+    """One, text's length (logarithm), share of links, sentence end, heading; names for content, for boilerplate, for neither in a page with
+    content; links under names for content."""
+    text, place, links, heading = block[0], block[1], block[2], block[6]
+    return 1.0, math.log(len(text)), links, float(text.endswith((".", "!", "?", "…", "。"))), float(heading), float(place > 0), float(place < 0), float(place == 0 and has_content), links * (place > 0)
 
 
-def score(block: tuple) -> float:
-    """Log-odds of content by the block's own text."""
-    return max(-SURE, min(SURE, sum(w * x for w, x in zip(WEIGHTS, features(block)))))
+def score(block: tuple, has_content: bool) -> float:
+    """The classifier's log-odds of content."""
+    return max(-SURE, min(SURE, sum(w * x for w, x in zip(WEIGHTS, features(block, has_content)))))
+
+
+def blurred(blocks: list[tuple], seed: int, taken: float = 0.1, turned: float = 0.1) -> list[tuple]:
+    """blocks with the places of some regions taken away (0) or turned round (by region, repeatable)."""
+    out = []
+    for b in blocks:
+        u = crc32(f"{seed}:{b[5]}:{b[1]}".encode()) / 2**32
+        out.append((b[0], 0 if u < taken else -b[1] if u < taken + turned else b[1], *b[2:]))
+    return out
 
 
 def fit(pages: list[str], rounds: int = 30) -> tuple[float, ...]:
     """Weights of a logistic regression on the blocks in regions: content against boilerplate, a weak ridge."""
-    blocks = [b for p in pages for b in parsed(p)[0] if b[1]]
-    x, y = np.array([features(b) for b in blocks]), np.array([b[1] > 0 for b in blocks], float)
+    x, y = [], []
+    for seed, page in enumerate(pages):
+        blocks, has_content = parsed(page)
+        x += [features(seen, has_content) for b, seen in zip(blocks, blurred(blocks, seed)) if b[1]]
+        y += [float(b[1] > 0) for b in blocks if b[1]]
+    x, y = np.array(x), np.array(y)
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
@@ -153,8 +183,9 @@ def fit(pages: list[str], rounds: int = 30) -> tuple[float, ...]:
     return tuple(w.round(2).tolist())
 
 
-def fitted(pages: DataFrame, sample: int = 2_500) -> tuple[float, ...]:
-    return fit([r["html"] or "" for r in pages.orderBy("page_id").select("html").limit(sample).collect()])
+def fitted(pages: DataFrame, sample: int = 1_250) -> tuple[float, ...]:
+    """Weights from a bounded sample, the documented parameter: the first `sample` pages of even id."""
+    return fit([r["html"] or "" for r in pages.filter("page_id % 2 = 0").orderBy("page_id").select("html").limit(sample).collect()])
 
 
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -222,23 +253,18 @@ def parsed(page: str | None) -> tuple[list[tuple], bool]:
 
 def labelled(page: str | None) -> list[tuple[str, bool, bool]]:
     """(text, content by the classifier alone, content by the cut) of each block."""
-    blocks, has_content = parsed(page)
-    alone = [score(b) for b in blocks]
-    scores = [s - OUTSIDE * (has_content and not b[1]) for s, b in zip(alone, blocks)]
-    edges, last, regions = [], {}, {}
+    return judged(*parsed(page))
+
+
+def judged(blocks: list[tuple], has_content: bool) -> list[tuple[str, bool, bool]]:
+    alone, edges, last = [score(b, has_content) for b in blocks], [], {}
     for i, b in enumerate(blocks):
         if i:
-            before = blocks[i - 1]
-            edges.append((i - 1, i, NEXT / (1 + abs(b[4] - before[4])) if b[5] == before[5] else ACROSS))
-        if b[3] in last and last[b[3]] != i - 1:
+            edges.append((i - 1, i, NEXT / max(1, b[4] - 1)))
+        if last.get(b[3], i - 1) != i - 1:
             edges.append((last[b[3]], i, SIBLING))
         last[b[3]] = i
-        if b[1]:
-            hub = regions.setdefault((b[5], b[1]), len(blocks) + len(regions))
-            if hub == len(scores):
-                scores.append(0.0)
-            scores[hub] += REGION * b[1]
-            edges.append((i, hub, INSIDE))
+    scores = [s * (1 + min(LONGEST, len(b[0]) / LENGTH)) for s, b in zip(alone, blocks)]
     return [(b[0], s > 0, k) for b, s, k in zip(blocks, alone, min_cut(scores, edges))]
 
 
