@@ -452,10 +452,10 @@ def scalar_log(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("select vec_id sample_id, cast((i - 1) // 8 as integer) t, cast((i - 1) % 8 as integer) s, round(cast(embedding[i] as double), 5) weight from embeddings, (select unnest(range(1, 65)) i)")
+@query("select vec_id sample_id, cast((i - 1) // 8 as integer) t, cast((i - 1) % 8 as integer) s, round(cast(embedding[i] as double), 5) + 0.0 weight from embeddings, (select unnest(range(1, 65)) i)")
 def attention_table(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8))).alias("attn"))
-    return sinks.attention_long(rows).withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+    return sinks.attention_long(rows).withColumn("weight", F.round(F.col("weight").cast("double"), 5) + 0.0)
 
 
 @query("select c_custkey, c_nationkey from customer where c_nationkey in (select n_nationkey from nation where n_regionkey < 2)")
@@ -479,7 +479,7 @@ def best_epoch(spark, sf_dir):
     return metrics.best_epochs(losses).withColumn("best_loss", F.round("best_loss", 6))
 
 
-@query(f"select vec_id, round(16 / (0.01 * (vec_id % 9 + 1)), 1) tokens_per_sec, round(10.0 * (vec_id % 9 + 1), 1) latency_ms, round(list_sum(list_transform(embedding[1:16], lambda x: abs(cast(x as double)))) / 16, 4) avg_confidence, cast(vec_id % 4 as integer) unk_in_input, 16 response_len, cast(vec_id % 4 + 5 as integer) input_tokens from embeddings")
+@query(f"select vec_id, round(16 / (0.01 * (vec_id % 9 + 1)), 1) tokens_per_sec, cast(round(10.0 * (vec_id % 9 + 1), 1) as double) latency_ms, round(list_sum(list_transform(embedding[1:16], lambda x: abs(cast(x as double)))) / 16, 4) avg_confidence, cast(vec_id % 4 as integer) unk_in_input, 16 response_len, cast(vec_id % 4 + 5 as integer) input_tokens from embeddings")
 def inference_metrics(spark, sf_dir):
     k = F.col("vec_id")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(1), F.lit(16)).alias("ids"), F.transform(F.slice("embedding", 1, 16), lambda x: F.abs(x.cast("double"))).alias("c"), (0.01 * (k % 9 + 1)).alias("s"), F.concat(F.array_repeat(F.lit(7), 5), F.array_repeat(F.lit(1), (k % 4).cast("int"))).alias("src"))
