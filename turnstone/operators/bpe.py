@@ -1,14 +1,18 @@
-"""Byte-pair vocabulary: words are counted in Spark, merges learned in rounds over the counted words, texts encoded in Arrow batches.
-
-Merges never cross words, so the distinct words with their counts are all that learning needs. They stay in Spark: each round
-counts neighbouring pieces over all words, and only the most frequent pairs of the round reach the driver. It merges
-those that can't overlap a more frequent one of the round (none begins with what another ends with), as long as they are at least
-`near` times as frequent as the first: their counts don't change by one another's merges. (One pair at a time would need a round for each
-piece; a merge that becomes frequent through another of the same round waits for the next.) Encoding is left to the learned table on the executors.
+"""Byte-pair vocabulary: words are counted in Spark, merges learned exactly in few rounds over the counted words, texts encoded in Arrow batches.
+
+Merges never cross words, so the distinct words with their counts are all that learning needs. They stay in Spark. A round counts neighbouring pieces over
+all words and takes as candidates all pairs with a count of `t` or more, for the least t such that they are at most `candidates`
+and that words cut wherever a pair is no candidate make at most `fragments` different fragments; these, with their counts, reach the driver, which merges
+one pair at a time in them. What it can't see are neighbours whose first pair, in the round's pieces, is no candidate: of each such kind there are
+fewer than t, and a pair of pieces that were made in several ways has several kinds. While the best pair's count is above what all others can
+have, it is the one that a learner of single merges over all words would take; then the words are rewritten and the next round begins. The first merge of a
+round is always right, so each makes progress; most rounds make hundreds or thousands. Pairs of equal count are taken in order of their text.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +27,29 @@ SPECIALS = ("<pad>", "<unk>", "<s>", "</s>", "__url__", "__path__", "__ip__", "_
 MARK = "▁"
 
 
+def merged(parts: list[str], rank: dict[tuple[str, str], int], once: bool = False) -> list[str]:
+    """parts with the merges done: the least rank first, from the left, by a heap over a linked list. once: each rank has
+    its turn once, in order, as in learning; else a pair that a later merge makes is merged as any other."""
+    n = len(parts)
+    parts, after, before = list(parts), [*range(1, n), -1], [-1, *range(n - 1)]
+    heap = [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        j = after[i]
+        if not parts[i] or j < 0 or rank.get((parts[i], parts[j])) != r:
+            continue
+        parts[i] += parts[j]
+        parts[j] = ""
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+        for x, y in ((before[i], i), (i, k)):
+            if x >= 0 and y >= 0 and (found := rank.get((parts[x], parts[y]))) is not None and not (once and found <= r):
+                heapq.heappush(heap, (found, x))
+    return [p for p in parts if p]
+
+
 @dataclass
 class Bpe:
     pieces: list[str]
@@ -39,12 +66,7 @@ class Bpe:
             return self.known[word]
         if word in SPECIALS:
             return [self.ids[word]]
-        parts = list(MARK + word)
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 30))
-            if (parts[at], parts[at + 1]) not in self.rank:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts = merged(list(MARK + word), self.rank)
         out = [self.ids.get(p, 1) for p in parts]
         if len(self.known) > 200_000:
             self.known.clear()
@@ -59,56 +81,144 @@ class Bpe:
         return " ".join(out.replace(MARK, " ").split())
 
 
-def learn(texts: DataFrame, column: str, size: int = 16_000, batch: int = 256, near: float = 0.4) -> Bpe:
+def learn(texts: DataFrame, column: str, size: int = 16_000, candidates: int = 20_000, fragments: int = 150_000) -> Bpe:
     spark, folder = texts.sparkSession, stages.scratch(texts.sparkSession, "bpe")
     words = texts.select(F.explode(T.tokens(F.col(column))).alias("w")).filter(~F.col("w").isin(*SPECIALS)).groupBy("w").agg(F.count("*").alias("n"))
     letters = F.filter(F.split("w", ""), lambda c: c != "")
     words.select(F.concat(F.array(F.lit(MARK)), letters).alias("parts"), "n").write.parquet(f"{folder}/0")
     words = spark.read.parquet(f"{folder}/0")
-    pieces = [*SPECIALS, *sorted(r["c"] for r in words.select(F.explode("parts").alias("c")).distinct().collect())]
-    known, merges, k = set(pieces), [], 0
-    while len(known) < size:
+    pieces = dict.fromkeys([*SPECIALS, *sorted(r["c"] for r in words.select(F.explode("parts").alias("c")).distinct().collect())])
+    merges, k, take = [], 0, 256
+    while len(pieces) < size:
         each = words.select("n", F.explode(F.zip_with(F.expr("slice(parts, 1, size(parts) - 1)"), F.expr("slice(parts, 2, size(parts))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
-        top = each.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "a", "b").limit(4 * batch).collect()
-        taken: list[tuple[str, str]] = []
-        begins: set[str] = set()
-        ends: set[str] = set()
-        for r in top:
-            if len(taken) >= batch or len(known) >= size or r["n"] < near * top[0]["n"]:
-                break
-            a, b, new = r["a"], r["b"], r["a"] + r["b"]
-            if a not in ends and b not in begins and new not in begins | ends:
-                taken.append((a, b))
-                begins.add(a)
-                ends.add(b)
-                known.add(new)
-        if not taken:
+        top = each.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).filter("n >= 2").orderBy(F.desc("n"), "a", "b").limit(candidates + 1).collect()
+        if not top:
             break
-        merges += taken
+        counts = [r["n"] for r in top]
+        while True:
+            least = counts[take] + 1 if take < len(counts) else 2 if len(counts) <= candidates else counts[-1] + 1
+            chosen = {(r["a"], r["b"]) for r in top if r["n"] >= least} or {(top[0]["a"], top[0]["b"])}
+            found = cut_up(words, chosen).limit(fragments + 1).collect()
+            if len(found) <= fragments or take == 1:
+                break
+            take = max(1, take // 2)
+        new = in_order([(r["parts"], r["n"]) for r in found], chosen, least, (top[0]["a"], top[0]["b"]), pieces, size)
+        merges += new
+        take = min(candidates, take * 2 if len(found) < fragments // 2 else take)
         k += 1
-        joined(words, taken).filter(F.size("parts") > 1).write.parquet(f"{folder}/{k}")
+        rewritten(words, new).write.parquet(f"{folder}/{k}")
         words = spark.read.parquet(f"{folder}/{k}")
     stages.cleaned_up(spark, folder, map(str, range(k + 1)))
-    return Bpe(list(dict.fromkeys([*pieces, *("".join(m) for m in merges)])), merges)
+    return Bpe(list(pieces), list(dict.fromkeys(merges)))
+
+
+def in_order(found: list[tuple[list[str], int]], chosen: set[tuple[str, str]], least: int, first: tuple[str, str], pieces: dict[str, None], size: int) -> list[tuple[str, str]]:
+    """The merges, one at a time, that the fragments (parts, n) prove; pieces gets what they make. An index from pair to fragments keeps
+    the counts, so that a merge touches those that hold it alone."""
+    texts, times = [list(p) for p, _ in found], [n for _, n in found]
+    count: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for i, t in enumerate(texts):
+        for p in zip(t, t[1:]):
+            count[p] += times[i]
+            where[p].add(i)
+    starts: dict[str, set[str]] = {}  # the round's pieces that a piece can begin with, where it isn't itself alone
+    ends: dict[str, set[str]] = {}
+    kinds_before = kinds_after = 1
+    heap = [(-n, *p) for p, n in count.items()]
+    heapq.heapify(heap)
+    unsure: list[tuple[int, str, str]] = []  # pairs of several kinds, by the negative of what they can have
+
+    def unseen(a: str, b: str) -> int:
+        """What the pair can have besides its count."""
+        if a not in ends and b not in starts:
+            return 0 if (a, b) in chosen else least - 1
+        return sum((x, y) not in chosen for x in ends.get(a, {a}) for y in starts.get(b, {b})) * (least - 1)
+
+    near: dict[str, set[tuple[str, str]]] = defaultdict(set)
+    for p in count:
+        near[p[0]].add(p)
+        near[p[1]].add(p)
+    out: list[tuple[str, str]] = []
+    done: set[tuple[str, str]] = set()
+    while heap and len(pieces) < size:
+        n, a, b = heap[0]
+        if count[a, b] != -n:
+            heapq.heappop(heap)
+            continue
+        if not out:
+            a, b = first
+        else:
+            while unsure and (unsure[0][1:] == (a, b) or count[unsure[0][1:]] + unseen(*unsure[0][1:]) != -unsure[0][0]):
+                heapq.heappop(unsure)
+            if -n <= max(-unsure[0][0] if unsure else 0, kinds_before * kinds_after * (least - 1), 1) or (a, b) in done:
+                break
+        done.add((a, b))
+        new = a + b
+        known = set(near[new])  # pairs of the same piece made in another way
+        starts[new] = starts.get(new, {new} if new in pieces else set()) | starts.get(a, {a})
+        ends[new] = ends.get(new, {new} if new in pieces else set()) | ends.get(b, {b})
+        kinds_before, kinds_after = max(kinds_before, len(ends[new])), max(kinds_after, len(starts[new]))
+        out.append((a, b))
+        pieces[new] = None
+        touched = set()
+        for i in where.pop((a, b), ()):
+            t, m = texts[i], times[i]
+            for p in zip(t, t[1:]):
+                count[p] -= m
+                touched.add(p)
+            for p in set(zip(t, t[1:])):
+                where[p].discard(i)
+            joined, j = [], 0
+            while j < len(t):
+                pair = j + 1 < len(t) and t[j] == a and t[j + 1] == b
+                joined.append(new if pair else t[j])
+                j += 1 + pair
+            texts[i] = joined
+            for p in zip(joined, joined[1:]):
+                count[p] += m
+                where[p].add(i)
+                touched.add(p)
+        for p in touched | known:
+            near[p[0]].add(p)
+            near[p[1]].add(p)
+            if count[p] > 0:
+                heapq.heappush(heap, (-count[p], *p))
+                if more := unseen(*p):
+                    heapq.heappush(unsure, (-count[p] - more, *p))
+    return out
+
+
+def cut_up(words: DataFrame, chosen: set[tuple[str, str]]) -> DataFrame:
+    """parts, n: the runs of words (parts, n) in which all neighbours are chosen pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[tuple[str, ...], int] = defaultdict(int)
+            for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                begin = 0
+                for i in range(1, len(parts) + 1):
+                    if i == len(parts) or (parts[i - 1], parts[i]) not in chosen:
+                        if i - begin > 1:
+                            out[tuple(parts[begin:i])] += n
+                        begin = i
+            yield pa.RecordBatch.from_arrays([pa.array(map(list, out), pa.list_(pa.string())), pa.array(out.values(), pa.int64())], names=["parts", "n"])
+
+    return words.mapInArrow(run, "parts array<string>, n long").groupBy("parts").agg(F.sum("n").alias("n"))
 
 
-def joined(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """words (parts, n) with the merges done, from the left."""
-    wanted = set(merges)
+def rewritten(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """words (parts, n) with the merges done one after another; words of one part have no more pairs and go."""
+    rank = {}
+    for i, m in enumerate(merges):
+        rank.setdefault(m, i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for parts in batch.column(0).to_pylist():
-                new, i = [], 0
-                while i < len(parts):
-                    pair = i + 1 < len(parts) and (parts[i], parts[i + 1]) in wanted
-                    new.append(parts[i] + parts[i + 1] if pair else parts[i])
-                    i += 1 + pair
-                out.append(new)
+            out = [merged(parts, rank, once=True) for parts in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), batch.column(1)], names=["parts", "n"])
 
-    return words.mapInArrow(run, "parts array<string>, n long")
+    return words.mapInArrow(run, "parts array<string>, n long").filter(F.size("parts") > 1)
 
 
 def encoded(rows: DataFrame, model: Bpe, column: str, key: str) -> DataFrame:
