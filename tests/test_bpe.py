@@ -4,7 +4,6 @@ import random
 import time
 from collections import Counter
 
-import pytest
 from pyspark.sql import functions as F
 
 from turnstone.functions import text as T
@@ -37,16 +36,50 @@ def slow(parts, rank):
     return parts
 
 
-@pytest.mark.parametrize(("seed", "candidates", "fragments"), [(1, 20_000, 150_000), (2, 40, 150_000), (3, 300, 60), (4, 5, 5)])
-def test_equals_the_learner_of_single_merges(spark, seed, candidates, fragments):
-    r = random.Random(seed)
+def in_rounds(words, size, take):
+    """The learner's rounds on a Counter of words, with at most `take` candidates."""
+    texts = [(list(bpe.MARK + w), n) for w, n in words.items()]
+    pieces, merges = dict.fromkeys([*bpe.SPECIALS, *sorted({c for t, _ in texts for c in t})]), []
+    while len(pieces) < size:
+        count, found = Counter(), Counter()
+        for t, n in texts:
+            for p in zip(t, t[1:]):
+                count[p] += n
+        top = sorted((-n, a, b) for (a, b), n in count.items() if n > 1)
+        if not top:
+            break
+        least = 1 - top[take][0] if take < len(top) else 2
+        chosen = {(a, b) for n, a, b in top if -n >= least} or {top[0][1:]}
+        for t, n in texts:
+            for x in bpe.runs(t, chosen):
+                found[x] += n
+        new = bpe.in_order([(list(x), n) for x, n in found.items()], chosen, least, top[0][1:], pieces, size)
+        merges += new
+        rank = {m: i for i, m in reversed(list(enumerate(new)))}
+        texts = [(bpe.merged(t, rank, once=True), n) for t, n in texts]
+    return list(pieces), list(dict.fromkeys(merges))
+
+
+def test_rounds_equal_the_learner_of_single_merges():
+    """Few letters, so that pieces are made in several ways and pairs tie."""
+    for seed in range(120):
+        r = random.Random(seed)
+        letters = r.choice(("ab", "aab", "abc", "abcdefgh"))
+        words = Counter("".join(r.choice(letters) for _ in range(r.choice((1, 3, 8, 14)))) for _ in range(r.choice((5, 60, 400))))
+        words = Counter({w: n * r.choice((1, 1, 2, 9)) for w, n in words.items()})
+        size, take = r.choice((40, 150, 600)), r.choice((1, 2, 5, 20, 200, 5000))
+        assert in_rounds(words, size, take) == plain(words, size), (seed, take)
+
+
+def test_learning_in_spark_equals_the_learner_of_single_merges(spark):
+    r = random.Random(1)
     words = ["".join(r.choice("aab" if r.random() < 0.5 else "abcdeé") for _ in range(r.choice((1, 2, 4, 9)))) for _ in range(300)]
     texts = [(" ".join(r.choice(words[: r.choice((20, 300))]) for _ in range(30)),) for _ in range(60)]
     df = spark.createDataFrame(texts, "text string")
     counts = Counter(w for row in df.select(T.tokens(F.col("text")).alias("w")).collect() for w in row["w"])
-    size = 130 if candidates == 5 else 400
-    got = bpe.learn(df, "text", size, candidates, fragments)
-    assert (got.pieces, got.merges) == plain(counts, size)
+    for candidates, fragments, size in ((20_000, 150_000, 400), (50, 100, 100)):
+        got = bpe.learn(df, "text", size, candidates, fragments)
+        assert (got.pieces, got.merges) == plain(counts, size)
 
 
 def test_documents_equal_the_learner_of_single_merges(spark):

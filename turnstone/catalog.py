@@ -394,8 +394,7 @@ def benchmark_contamination(spark, sf_dir):
 def vocabulary(spark, sf_dir):
     from .operators import bpe
 
-    texts = table(spark, sf_dir, "conversations").select(T.clean(F.col("text")).alias("text"))
-    return bpe.learn(texts, "text", size=1000)
+    return bpe.learn(table(spark, sf_dir, "documents").select(T.clean(F.col("text")).alias("text")), "text")
 
 
 @query()

@@ -189,19 +189,25 @@ def in_order(found: list[tuple[list[str], int]], chosen: set[tuple[str, str]], l
     return out
 
 
+def runs(parts: list[str], chosen: set[tuple[str, str]]) -> Iterator[tuple[str, ...]]:
+    """The longest runs of two parts or more in which all neighbours are chosen pairs."""
+    begin = 0
+    for i in range(1, len(parts) + 1):
+        if i == len(parts) or (parts[i - 1], parts[i]) not in chosen:
+            if i - begin > 1:
+                yield tuple(parts[begin:i])
+            begin = i
+
+
 def cut_up(words: DataFrame, chosen: set[tuple[str, str]]) -> DataFrame:
-    """parts, n: the runs of words (parts, n) in which all neighbours are chosen pairs."""
+    """parts, n: the different runs of words (parts, n) with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[tuple[str, ...], int] = defaultdict(int)
             for parts, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                begin = 0
-                for i in range(1, len(parts) + 1):
-                    if i == len(parts) or (parts[i - 1], parts[i]) not in chosen:
-                        if i - begin > 1:
-                            out[tuple(parts[begin:i])] += n
-                        begin = i
+                for found in runs(parts, chosen):
+                    out[found] += n
             yield pa.RecordBatch.from_arrays([pa.array(map(list, out), pa.list_(pa.string())), pa.array(out.values(), pa.int64())], names=["parts", "n"])
 
     return words.mapInArrow(run, "parts array<string>, n long").groupBy("parts").agg(F.sum("n").alias("n"))
