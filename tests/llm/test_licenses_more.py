@@ -32,3 +32,20 @@ def test_families_are_told_apart():
     for name in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0-notice", "Unlicense"):
         best = max(licenses.scan(licenses.TEMPLATES[name], *index), key=lambda f: f[1])
         assert best[:2] == (name, 1.0)
+
+
+def test_whole_texts_are_covered_to_their_ends():
+    tokens, index = licenses.index_of(licenses.TEMPLATES)
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"):
+        text = licenses.TEMPLATES[f"{name}-text"]
+        text = text.strip()
+        found = licenses.scan(f"Some words before it. {text} Some words after it.", tokens, index)
+        assert [(x[0], x[1]) for x in found] == [(f"{name}-text", 1.0)], name
+        assert found[0][2] < 25 and found[0][3] > len(text) + 15
+
+
+def test_drift_beyond_the_band():
+    tokens, index = licenses.index_of(licenses.TEMPLATES)
+    w = licenses.TEMPLATES["BSD-2-Clause-text"].split()
+    text = " ".join([*w[:60], *["extra"] * (licenses.BAND + 4), *w[60:]])
+    assert [(x[0], x[1]) for x in licenses.scan(text, tokens, index)] == [("BSD-2-Clause-text", 1.0)]

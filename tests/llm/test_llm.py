@@ -322,6 +322,8 @@ def test_mixing_odd_rows(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns and out.count() == sum(r["copies"] for r in rows)
     assert mixing.copies(odd.limit(0)).count() == 0
+    clash = odd.withColumn("mix__hash", F.lit("own")).withColumn("row", F.lit(7)).withColumn("hash", F.lit(8))
+    assert {(r["mix__hash"], r["row"], r["hash"]) for r in mixing.mixed(clash).collect()} == {("own", 7, 8)}
 
 
 # --- 8 ---

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +62,8 @@ TEMPLATES |= {
     "ISC-text": TEMPLATES["ISC"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Whole texts, a file each.
+TEMPLATES |= {f"{x.stem}-text": x.read_text() for x in sorted((Path(__file__).parent / "templates").glob("*.txt"))}
 KIND = "doc_id {}, license string, coverage double, start long, end long"
 
 
@@ -102,22 +106,31 @@ def scan(text: str | None, tokens: dict, index: dict, sizes: tuple[int, ...] = (
     hits = [(i, index[g]) for n in sizes for i, g in enumerate(zip(*(words[k:] for k in range(n)))) if g in index]
     if not hits:
         return []
-    votes: dict[tuple[str, int], int] = {}  # a template and a diagonal: the last place of a hit
+    votes: dict[str, dict[int, int]] = defaultdict(dict)  # a template's diagonals: the last place of a hit
     for i, places in hits:
         for name, at in places:
-            votes[name, i - at] = max(i, votes.get((name, i - at), 0))
-    found = []
-    done: dict[str, tuple[int, int]] = {}  # by template, the last diagonal and where its match ended (-1: none)
-    for (name, shift), last in sorted(votes.items()):
-        before, end = done.get(name, (shift - BAND, -1))
-        if last <= end or (end < 0 and shift - before <= BAND // 2):
-            continue  # its hits are in the last match, or the band of the last alignment held them
-        skip = end + 1  # copies may follow closely: what is matched is not matched again
-        n, first, stop = aligned(tokens[name], words[skip:], shift - skip)
-        ok = n >= LEAST * len(tokens[name]) and stop - first < len(tokens[name]) + 2 * BAND
-        done[name] = (shift, max(end, stop + skip) if ok else end)
-        if ok:
-            found.append((n / len(tokens[name]), name, first + skip, stop + skip))
+            votes[name][i - at] = max(i, votes[name].get(i - at, 0))
+    found, held = [], Counter(words)
+    for name, last in votes.items():
+        need = LEAST * len(tokens[name])
+        if sum(min(n, held[w]) for w, n in Counter(tokens[name]).items()) < need:
+            continue  # no alignment can match more
+        shifts, end, seen = sorted(last), -1, None  # seen: up to which diagonal hits were in the band of an alignment that failed
+        for shift in shifts:
+            if last[shift] <= end:
+                continue  # its hits are in the last match
+            highest = shifts[bisect_right(shifts, shift + 2 * BAND) - 1]
+            if seen is not None and highest <= seen:
+                continue
+            skip = end + 1  # copies may follow closely: what is matched is not matched again
+            for centre in (shift, shift + BAND) if highest > shift + BAND else (shift,):  # the second where a text drifts out of the first's band
+                n, first, stop = aligned(tokens[name], words[skip:], centre - skip)
+                if n >= need and stop - first < len(tokens[name]) + 2 * BAND:
+                    end, seen = max(end, stop + skip), None
+                    found.append((n / len(tokens[name]), name, first + skip, stop + skip))
+                    break
+            else:
+                seen = highest
     if not found:
         return []
     spans = [m.span() for m in TOKEN.finditer(text if len(text) == len(lower) else lower)]

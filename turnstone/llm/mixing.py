@@ -72,14 +72,12 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     key = ["doc_id", "h", "source"]
     n = cut(copies(docs, seed).groupBy(key).agg(F.sum("copies").alias("mix__t"), F.count("*").alias("mix__k")))
     n = n.select(*[F.col(c).alias(f"mix__{c}") for c in key], "mix__t", "mix__k")
-    marked = docs.withColumn("mix__hash", text_hash(docs))
-    found = marked.join(n, marked["doc_id"].eqNullSafe(F.col("mix__doc_id")) & (F.col("mix__hash") == F.col("mix__h")) & marked["source"].eqNullSafe(F.col("mix__source")))
-    repeated = lambda df, count: df.filter(count > 0).withColumn("mix__i", F.explode(F.sequence(F.lit(1), count))).select(docs.columns)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"), text_hash(docs).alias("hash"))
+    found = marked.join(n, marked["doc_id"].eqNullSafe(F.col("mix__doc_id")) & (F.col("hash") == F.col("mix__h")) & marked["source"].eqNullSafe(F.col("mix__source")))
+    repeated = lambda df, count: df.filter(count > 0).select("row", F.explode(F.sequence(F.lit(1), count))).select("row.*")
     even = repeated(found, F.floor(F.col("mix__t") / F.col("mix__k")))
     left = F.pmod("mix__t", "mix__k")
     if n.filter(left > 0).isEmpty():
         return even
-    rest = found.filter(left > 0).groupBy("mix__doc_id", "mix__h", "mix__source", "mix__t", "mix__k")
-    rest = rest.agg(*[F.first(F.struct(F.col(f"`{c}`"))).alias(f"mix__{i}") for i, c in enumerate(docs.columns)])
-    rest = rest.select(*[F.col(f"mix__{i}").getField(c).alias(c) for i, c in enumerate(docs.columns)], "mix__t", "mix__k")
+    rest = found.filter(left > 0).groupBy("mix__doc_id", "mix__h", "mix__source", "mix__t", "mix__k").agg(F.first("row").alias("row"))
     return even.unionByName(repeated(rest, left))
