@@ -171,3 +171,29 @@ def test_trie_walk_within_a_wide_budget_equals_brute_force():
         half = len(keys) // 3
         cross = {(i, j) for a, b in simhash.walk(keys, [(0, half, half, len(keys), 0, budget)], budget, leaf=4) for i, j in zip(a.tolist(), b.tolist())}
         assert cross == {(i, j) for i, j in want if i < half <= j}
+
+
+def test_a_second_attempt_replaces_the_first(tmp_path):
+    """A store whose rename does not overwrite."""
+    from pyarrow import fs
+
+    from turnstone.llm import media
+
+    store, moves = fs.LocalFileSystem(), []
+
+    class Once:
+        def get_file_info(self, name):
+            return store.get_file_info(name)
+
+        def delete_file(self, name):
+            store.delete_file(name)
+
+        def move(self, a, b):
+            assert store.get_file_info(b).type == fs.FileType.NotFound
+            moves.append((a, b))
+            store.move(a, b)
+
+    for text in ("first", "second"):
+        (tmp_path / "x.tmp").write_text(text)
+        media.placed(Once(), str(tmp_path / "x.tmp"), str(tmp_path / "x.zip"))
+    assert (tmp_path / "x.zip").read_text() == "second" and len(moves) == 2

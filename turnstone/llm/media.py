@@ -110,12 +110,19 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 for key, text in zip(batch.column(0), batch.column(1)):
                     archive.writestr(zipfile.ZipInfo(member_name(n, key.as_py())), encode_png((text.as_py() or "").encode("utf-8", "surrogatepass")))
                     n += 1
-        store.move(temporary, f"{name}.zip")
+        placed(store, temporary, f"{name}.zip")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def placed(store: pafs.FileSystem, temporary: str, name: str) -> None:
+    """Moves an attempt's archive to its place. An earlier attempt's goes first: not every store's rename overwrites."""
+    if store.get_file_info(name).type != pafs.FileType.NotFound:
+        store.delete_file(name)
+    store.move(temporary, name)
+
+
 def member_name(n: int, key: int | str | None) -> str:
     return f"{n}/{quote(json.dumps(key), safe='')}.png"
 
