@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from .scan import LIMIT, Scan
 
 
 def grouped(turns: DataFrame) -> DataFrame:
@@ -22,10 +23,10 @@ def usable(turns: DataFrame) -> DataFrame:
     return kept.withColumns({"speaker": speaker, "text": T.clean(raw)}).filter((F.col("text") != "") & ~T.is_repetitive(F.col("text")))
 
 
-def shape(turns: DataFrame) -> DataFrame:
-    """id, n, n_speakers, dominance, alternation: one shuffle on id serves the window and both aggregates."""
-    inside = Window.partitionBy("id").orderBy("ord")
-    marked = turns.select("id", "speaker", (F.lag("speaker").over(inside) != F.col("speaker")).cast("int").alias("changed"))
+def shape(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """id, n, n_speakers, dominance, alternation."""
+    marked = Scan(turns.select("id", "ord", "speaker"), ["ord"], limit=limit).previous(before=F.col("speaker")).rows()
+    marked = marked.select("id", "speaker", (F.col("before") != F.col("speaker")).cast("int").alias("changed"))
     by_speaker = marked.groupBy("id", "speaker").agg(F.count("*").alias("k"), F.sum("changed").alias("changed"))
     return by_speaker.groupBy("id").agg(
         F.sum("k").alias("n"), F.count("speaker").alias("n_speakers"), (F.max("k") / F.sum("k")).alias("dominance"),
@@ -46,32 +47,29 @@ def in_time(timed: DataFrame) -> list[str]:
     return ["ts", "ord"] if "ord" in timed.columns else ["ts"]
 
 
-def gaps(timed: DataFrame, hard: float = 3600, soft: float = 600) -> DataFrame:
+def gaps(timed: DataFrame, hard: float = 3600, soft: float = 600, limit: int = LIMIT) -> DataFrame:
     """timed (id, ts) -> id, n, max_gap and soft_ratio in seconds, reason by the temporal rules."""
-    inside = Window.partitionBy("id").orderBy(*in_time(timed))
     gap = F.expr("timestampdiff(MICROSECOND, before, ts)") / 1e6
-    df = timed.withColumn("before", F.lag("ts").over(inside)).withColumn("gap", gap)
+    df = Scan(timed, in_time(timed), limit=limit).previous(before=F.col("ts")).rows().withColumn("gap", gap)
     df = df.groupBy("id").agg(F.count("*").alias("n"), F.max("gap").alias("max_gap"), F.avg((F.col("gap") > soft).cast("double")).alias("soft_ratio"))
     return df.withColumn("reason", F.when(F.col("n") < 2, "too_few_valid_dates").when(F.col("max_gap") > hard, "temporal_hard_ceiling").when(F.col("soft_ratio") > 0.3, "temporal_gap_ratio").otherwise("kept"))
 
 
-def sessions(timed: DataFrame, gap_seconds: int) -> DataFrame:
+def sessions(timed: DataFrame, gap_seconds: int, limit: int = LIMIT) -> DataFrame:
     """timed with a session number by id: a new one after each gap that is longer."""
-    inside = Window.partitionBy("id").orderBy(*in_time(timed))
     new = F.coalesce((F.expr("timestampdiff(SECOND, before, ts)") > gap_seconds).cast("int"), F.lit(1))
-    return timed.withColumn("before", F.lag("ts").over(inside)).withColumn("new", new).withColumn("session", F.sum("new").over(inside)).drop("before", "new")
+    return Scan(timed, in_time(timed), limit=limit).previous(before=F.col("ts")).running(session=new).rows().drop("before")
 
 
-def islands(turns: DataFrame) -> DataFrame:
+def islands(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     """turns with the number of the run of one speaker (case ignored) that each is in."""
-    inside = Window.partitionBy("id").orderBy("ord")
-    new = F.coalesce((F.lower("speaker") != F.lower(F.lag("speaker").over(inside))).cast("int"), F.lit(1))
-    return turns.withColumn("new", new).withColumn("island", F.sum("new").over(inside)).drop("new")
+    new = F.coalesce((F.lower("speaker") != F.col("before")).cast("int"), F.lit(1))
+    return Scan(turns, ["ord"], limit=limit).previous(before=F.lower("speaker")).running(island=new).rows().drop("before")
 
 
-def merged(turns: DataFrame) -> DataFrame:
+def merged(turns: DataFrame, limit: int = LIMIT) -> DataFrame:
     """One row for each run of one speaker. An utterance is left out if all of it is one word of the run so far."""
-    runs = islands(turns).groupBy("id", "island").agg(F.array_sort(F.collect_list(F.struct("ord", "speaker", "text"))).alias("t"))
+    runs = islands(turns, limit).groupBy("id", "island").agg(F.array_sort(F.collect_list(F.struct("ord", "speaker", "text"))).alias("t"))
 
     def add(acc: Column, x: Column) -> Column:
         new = F.trim(x["text"])

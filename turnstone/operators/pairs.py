@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .scan import LIMIT, Scan
 
 
-def framed(turns: DataFrame, frame: int = 8) -> DataFrame:
+def framed(turns: DataFrame, frame: int = 8, limit: int = LIMIT) -> DataFrame:
     """id, pos, ctx, resp: each turn but the first with up to `frame` turns before it."""
-    inside = Window.partitionBy("id").orderBy("ord")
-    ctx = F.array_join(F.collect_list("text").over(inside.rowsBetween(-frame, -1)), T.EOT)
-    return turns.select("id", (F.row_number().over(inside) - 1).cast("long").alias("pos"), ctx.alias("ctx"), F.col("text").alias("resp")).filter("pos >= 1")
+    scan = Scan(turns.select("id", "ord", "text"), ["ord"], limit=limit).last(frame, "before", F.col("text")).running(place=F.lit(1))
+    return scan.rows().select("id", (F.col("place") - 1).cast("long").alias("pos"), F.array_join("before", T.EOT).alias("ctx"), F.col("text").alias("resp")).filter("pos >= 1")
 
 
 def masked(made: DataFrame, turns: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def sampled(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.withColumn("h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))).orderBy("h").limit(n).drop("h")
 
 
-def history(turns: DataFrame, frame: int = 8) -> DataFrame:
+def history(turns: DataFrame, frame: int = 8, limit: int = LIMIT) -> DataFrame:
     """id, ord, history: the last `frame` cleaned, non-empty utterances up to each turn."""
-    inside = Window.partitionBy("id").orderBy("ord").rowsBetween(-frame + 1, 0)
-    return turns.withColumn("t", T.clean(F.col("text"))).select("id", "ord", F.array_join(F.filter(F.collect_list("t").over(inside), lambda x: x != ""), T.EOT).alias("history"))
+    scan = Scan(turns.select("id", "ord", T.clean(F.col("text")).alias("t")), ["ord"], limit=limit).last(frame, "last", F.col("t"), and_this=True)
+    return scan.rows().select("id", "ord", F.array_join(F.filter("last", lambda x: x != ""), T.EOT).alias("history"))
