@@ -9,6 +9,7 @@ from .functions import arrays as A
 from .functions import fixed
 from .functions import text as T
 from .operators import dialogue, metrics, pairs, vectors
+from .sources import stages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,10 +26,13 @@ def query(sql: str | None = None):
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
-    """A table. Documents in fewer row groups than there are cores (a small file) are dealt over all cores; larger tables are read as they are."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents" and df._jdf.rdd().getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
-        return df.repartition(cores)
+    """A table. Documents of up to 64 MB, which may be one row group, are dealt over all cores; larger ones are read as they are."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name == "documents":
+        store, at = stages.hadoop_path(spark, path)
+        if store.getContentSummary(at).getLength() <= 64 << 20:
+            return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -321,14 +325,17 @@ def coverage_join(spark, sf_dir):
     return df.agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"), F.round(F.count("quality") / F.count("*"), 6).alias("coverage"))
 
 
-@query("select epoch, case when epoch <= 5 then 1.0 when epoch <= 12 then round(0.9 - (epoch - 6) * 0.4 / 6, 6) else 0.5 end tf from (select unnest(range(1, 21)) epoch)")
+@query("select event_id, case when e <= 5 then 1.0 when e <= 12 then round(0.9 - (e - 6) * 0.4 / 6, 6) else 0.5 end tf from (select event_id, event_id % 20 + 1 e from events)")
 def tf_schedule(spark, sf_dir):
-    return spark.range(1, 21).select(F.col("id").alias("epoch"), F.round(A.teacher_forcing(F.col("id")), 6).alias("tf"))
+    """The share of teacher forcing in each event's epoch."""
+    epoch = (F.col("event_id") % 20 + 1).alias("e")
+    return table(spark, sf_dir, "events").select("event_id", F.round(A.teacher_forcing(epoch), 6).alias("tf"))
 
 
-@query("select step, round(case when step < 50 then step / 50 else 0.5 * (1 + cos(pi() * least(1.0, (step - 50) / 450))) end, 6) lr from (select unnest(range(0, 500, 10)) step)")
+@query("select event_id, round(case when s < 50 then s / 50 else 0.5 * (1 + cos(pi() * least(1.0, (s - 50) / 450))) end, 6) lr from (select event_id, event_id % 600 s from events)")
 def lr_schedule(spark, sf_dir):
-    return spark.range(0, 500, 10).select(F.col("id").alias("step"), F.round(A.warmup_cosine(F.col("id"), 50, 500), 6).alias("lr"))
+    """The learning rate at each event's step."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(A.warmup_cosine(F.col("event_id") % 600, 50, 500), 6).alias("lr"))
 
 
 @query("select o_orderpriority, count(*) n, round(100.0 * count(*) / sum(count(*)) over (), 4) pct from orders group by 1")

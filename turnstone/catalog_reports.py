@@ -16,7 +16,7 @@ from .operators import bpe, decoding, dialogue, metrics, pairs, vectors
 from .plans import corpus
 from .sources import sinks, stages
 from .sources import turns as sources
-from .streaming import sessions
+from .streaming import history, sessions
 
 # --- the corpus plan ---
 
@@ -277,7 +277,8 @@ def jsonl_pairs(spark, sf_dir):
 def bounded_scan(spark, sf_dir):
     """The first lines of a file."""
     out = stages.scratch(spark, "scan")
-    table(spark, sf_dir, "documents").coalesce(1).orderBy("doc_id").select(F.concat(F.lit("line "), F.col("doc_id").cast("string")).alias("value")).coalesce(1).write.text(out)
+    ordered = table(spark, sf_dir, "documents").select("doc_id").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(F.concat(F.lit("line "), F.col("doc_id").cast("string")).alias("value")).write.text(out)
     return sources.read_lines(spark, out, 50).select("value")
 
 
@@ -341,11 +342,12 @@ def idx2word_file(spark, sf_dir):
 @query(f"select s_suppkey, coalesce((select id from {NATION} where piece = n), 1) as id, coalesce((select piece from {NATION} where id = s_suppkey), '<unk>') as piece from (select s_suppkey, case when s_suppkey % 3 = 0 then 'ATLANTIS' else (select n_name from nation where n_nationkey = s_nationkey) end n from supplier)")
 def tokenizer_lookup(spark, sf_dir):
     """Piece to id and id to piece by inverted maps, with their defaults."""
-    maps = sources.inverted(nations(spark, sf_dir))
+    pieces = nations(spark, sf_dir)
     named = table(spark, sf_dir, "supplier").join(nations(spark, sf_dir).withColumnRenamed("id", "nation"), F.col("s_nationkey") == F.col("nation"))
     name = F.when(F.col("s_suppkey") % 3 == 0, "ATLANTIS").otherwise(F.col("piece"))
-    rows = named.select("s_suppkey", name.alias("name")).join(F.broadcast(maps))  # one row
-    return rows.select("s_suppkey", F.coalesce(F.col("to_id")[F.col("name")], F.lit(1)).alias("id"), F.coalesce(F.col("to_piece")[F.col("s_suppkey").cast("int")], F.lit("<unk>")).alias("piece"))
+    rows = named.select("s_suppkey", name.alias("name")).join(pieces.select(F.col("piece").alias("name"), "id"), "name", "left")
+    rows = rows.join(pieces.select(F.col("id").alias("s_suppkey"), "piece"), "s_suppkey", "left")
+    return rows.select("s_suppkey", F.coalesce("id", F.lit(1)).alias("id"), F.coalesce("piece", F.lit("<unk>")).alias("piece"))
 
 
 @query("select vec_id id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 4) norm from embeddings")
@@ -356,15 +358,25 @@ def matrix_file(spark, sf_dir):
     return sources.read_matrix(spark, out).select("id", F.round(A.norm(F.col("vec")), 4).alias("norm"))
 
 
-@query("select unnest(['best_model.txt', 'last_model.txt', 'step_100.txt', 'step_20.txt', 'notes.txt']) as name, unnest(['best', 'last', 'step', 'step', 'other']) as kind, unnest([null, null, 100, 20, null]::bigint[]) as step")
-def checkpoint_list(spark, sf_dir):
-    folder = stages.scratch(spark, "checkpoints")
-    for name in ("best_model.txt", "last_model.txt", "step_100.txt", "step_20.txt", "notes.txt"):
+def made_files(spark, folder: str, files: list[tuple[str, int]]) -> None:
+    for name, size in files:
         store, at = stages.hadoop_path(spark, f"{folder}/{name}")
         file = store.create(at)
-        file.write(bytearray(name.encode()))
+        file.write(bytearray(b"x" * size))
         file.close()
-    return stages.checkpoints(spark, folder)
+
+
+KINDS = "case n_nationkey % 5 when 0 then 'best' when 1 then 'last' when 2 then 'notes' else 'step' end"
+
+
+@query(f"select name, kind, step, cast(row_number() over (order by array_position(['best', 'last', 'step', 'other'], kind), step, name) as integer) as place from (select k || '_' || n_nationkey * 7 || '.txt' as name, case k when 'notes' then 'other' else k end as kind, case when k = 'step' then cast(n_nationkey * 7 as bigint) end as step from (select *, {KINDS} as k from nation))")
+def checkpoint_list(spark, sf_dir):
+    """Checkpoints of a folder, in order: best, last, steps ascending, others."""
+    folder = stages.scratch(spark, "checkpoints")
+    names = table(spark, sf_dir, "nation").select(F.concat(F.expr(KINDS), F.lit("_"), (F.col("n_nationkey") * 7).cast("string"), F.lit(".txt"))).collect()  # a nation is a file
+    made_files(spark, folder, [(r[0], 5) for r in names])
+    found = stages.checkpoints(spark, folder).collect()
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(found)], "name string, kind string, step long, place int")
 
 
 @query("select unnest(['first', 'again', 'removed']) as run, unnest([count(*), count(*), 1]) as n, unnest([1, 1, 1]) as made from region")
@@ -402,15 +414,13 @@ def registry_file(spark, sf_dir):
     return sources.read_registry(spark, out).filter("tokenizer is null and dataset is null and description is null").select("id", "name", "architecture", "checkpoint")
 
 
-@query("select 'b.csv' as name")
+@query("select replace(lower(n_name), ' ', '_') || '.csv' as name from nation where n_nationkey % 4 > 0 order by n_nationkey * 7 % 11 desc, name limit 1")
 def largest_file(spark, sf_dir):
-    """Of a folder's CSV files the largest is read; the first by name among equals."""
+    """Of a folder's CSV files the largest is read; the first by name among equals. A nation is a file, its size depends on its key."""
     folder = stages.scratch(spark, "discovered")
-    for name, size in (("a.csv", 10), ("b.csv", 30), ("c.csv", 30), ("d.txt", 99)):
-        store, at = stages.hadoop_path(spark, f"{folder}/{name}")
-        file = store.create(at)
-        file.write(bytearray(b"x" * size))
-        file.close()
+    end = F.when(F.col("n_nationkey") % 4 > 0, ".csv").otherwise(".txt")
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.replace(F.lower("n_name"), F.lit(" "), F.lit("_")), end), (F.col("n_nationkey") * 7 % 11 + F.when(end == ".txt", 99).otherwise(1)).cast("int")).collect()
+    made_files(spark, folder, [tuple(r) for r in rows])
     path = sources.largest_csv(spark, folder)
     return spark.createDataFrame([(path.rsplit("/", 1)[-1],)], "name string")
 
@@ -709,12 +719,14 @@ def additive_attention(spark, sf_dir):
     return e.select("vec_id", F.array_join(F.transform(w, lambda x: F.round(x * 10000).cast("long").cast("string")), " ").alias("weights"))
 
 
-@query("select unnest(range(11)) id, unnest([" + ", ".join(map(quoted, bpe.SPECIALS)) + "]) tag, true is_single")
+@query("select * from (select unnest(range(11)) id, unnest([" + ", ".join(map(quoted, bpe.SPECIALS)) + "]) tag, true is_single) union all select unnest(range(11)), unnest([" + ", ".join(quoted(s + "x") for s in bpe.SPECIALS) + "]), false")
 def special_tokens(spark, sf_dir):
     """Special tokens of a learned vocabulary are single pieces in their places."""
     from .catalog import vocabulary
 
-    return spark.createDataFrame([(i, s, ok) for s, i, ok in bpe.integrity(vocabulary(spark, sf_dir))], "id long, tag string, is_single boolean")
+    model = vocabulary(spark, sf_dir)
+    found = bpe.integrity(model) + bpe.integrity(model, tuple(f"{s}x" for s in bpe.SPECIALS))  # words that only begin with a tag are none
+    return spark.createDataFrame([(i, s, ok) for s, i, ok in found], "id long, tag string, is_single boolean")
 
 
 # --- streams ---
@@ -736,3 +748,39 @@ def stream_clean_text(spark, sf_dir):
     done = sessions.cleaned(stream).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(source.schema).parquet(f"{out}/rows").select("conv_id", "turn", F.col("text").alias("clean"))
+
+
+@query(ORACLES["rolling_history"])
+def stream_history(spark, sf_dir):
+    """The last ten exchanges of a chat, as state of a stream that is stopped and started again between three parts of the turns."""
+    out = stages.scratch(spark, "history")
+    at = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("ord"))
+    rows = turns(spark, sf_dir).select("id", "ord", at.alias("ts"), "text")
+    for k in range(3):
+        rows.filter(F.least(F.floor(F.col("ord") / 4), F.lit(2)) == k).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+        done = history.rolling(stream).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("id", "ord", F.md5("history").alias("history_md5"))
+
+
+@query("select 'loss/' || event_type tag, event_id step, value from events")
+def stream_scalars(spark, sf_dir):
+    """Scalars of a stream appended batch by batch; the last batch comes twice."""
+    out = stages.scratch(spark, "scalars")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("loss/"), "event_type").alias("tag"), F.col("event_id").alias("step"), "value")
+    for k in range(2):
+        part = rows.filter(F.col("step") % 2 == k)
+        part.write.mode("append").parquet(f"{out}/in")
+        history.scalars(spark.readStream.schema(rows.schema).parquet(f"{out}/in"), f"{out}/rows", f"{out}/state").awaitTermination()
+    history.append_batch(part, 1, f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").select("tag", "step", "value")
+
+
+@query(CLEAN_FRAMED + f"select count(*) n, count(case when {NW('resp')} < 5 then 1 end) n_short, count(case when {REASON} = 'kept' then 1 end) n_kept, max(pos) last_pos from p")
+def observed_pairs(spark, sf_dir):
+    """Counts taken in the pass that writes a stage."""
+    made = clean_pairs(spark, sf_dir)
+    kept = pairs.discard_reason(max_resp=300) == "kept"
+    seen = stages.observed(made, stages.scratch(spark, "pairs"), n=F.count("*"), n_short=F.count_if(T.n_words(F.col("resp")) < 5), n_kept=F.count_if(kept), last_pos=F.max("pos"))
+    return spark.createDataFrame([tuple(seen[k] for k in ("n", "n_short", "n_kept", "last_pos"))], "n long, n_short long, n_kept long, last_pos long")

@@ -240,9 +240,9 @@ def encoded(rows: DataFrame, model: Bpe, column: str, key: str) -> DataFrame:
     return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
 
 
-def integrity(model: Bpe) -> list[tuple[str, int, bool]]:
+def integrity(model: Bpe, tags: tuple[str, ...] = SPECIALS) -> list[tuple[str, int, bool]]:
     """(tag, id, whether it is a single piece in its place)."""
-    return [(s, i, model.pieces[i] == s and (i < 4 or model.encode(s) == [i])) for i, s in enumerate(SPECIALS)]
+    return [(s, i, model.pieces[i] == s and (i < 4 or model.encode(s) == [i])) for i, s in enumerate(tags)]
 
 
 def word_vectors(rows: DataFrame, column: str, dim: int = 300, min_count: int = 3, window: int = 5, epochs: int = 10, seed: int = 42) -> DataFrame:

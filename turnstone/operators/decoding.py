@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..sources import stages
 
 
 def greedy(steps: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def beam_search(scores: Callable[[DataFrame], DataFrame], samples: DataFrame, wi
         done = ended if done is None else done.unionByName(ended)
         going = made.filter(F.col("id") != A.EOS).select("sample_id", F.concat("before", F.array("id")).alias("ids"), "logp", A.beam_score(F.col("logp"), n, penalty).alias("score"))
         active = going.withColumn("rank", F.row_number().over(order("score"))).filter(F.col("rank") <= width).select("sample_id", "ids", "logp")
+        active = stages.kept(active, "beams")  # else each step's plan would hold all steps before it
     done = done.unionByName(active.select("sample_id", "ids", A.beam_score(F.col("logp"), F.size("ids"), penalty).alias("score")))
     return done.withColumn("rank", F.row_number().over(order("score"))).filter("rank = 1").drop("rank")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..sources import stages
 
 
 def distinct_n(rows: DataFrame, array: str, n: int) -> DataFrame:
@@ -99,9 +100,33 @@ def length_histogram(rows: DataFrame, length: str) -> DataFrame:
     return every.join(rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")), "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def top_responses(rows: DataFrame, resp: str, order: str, n: int = 20) -> DataFrame:
-    """The n most frequent responses, the first seen first among equals. A top-k report."""
-    return rows.groupBy(resp).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(n)
+def top_responses(rows: DataFrame, resp: str, order: str, n: int = 20, counters: int = 100_000) -> DataFrame:
+    """The n most frequent responses, the first seen first among equals. A top-k report.
+
+    A task keeps at most `counters` counts of hashes (Misra and Gries): when they are full, all go down by one, and what a count can lack is
+    the number of times that happened. Hashes and counts are shuffled instead of texts; only responses whose count can
+    be the n-th largest or more are then counted exactly, by their text."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, int] = {}
+        lost = 0
+        for batch in batches:
+            for h, k in zip(*(x.to_pylist() for x in batch.column(0).value_counts().flatten())):
+                held[h] = held.get(h, 0) + k
+            if len(held) > counters:
+                down = sorted(held.values(), reverse=True)[counters]
+                lost += down
+                held = {h: k - down for h, k in held.items() if k > down}
+        yield pa.RecordBatch.from_arrays([pa.array([*held, None], pa.int64()), pa.array([*held.values(), lost], pa.int64())], names=["h", "n"])
+
+    hashed = F.xxhash64(F.col(resp))
+    sums = rows.select(hashed.alias("h")).mapInArrow(sketch, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = stages.kept(sums, "sketch")
+    lost = found.filter("h is null").first()["n"] if not found.isEmpty() else 0
+    least = found.filter("h is not null").orderBy(F.desc("n")).limit(n).agg(F.min("n")).first()[0] or 0
+    able = found.filter("h is not null").filter(F.col("n") + lost >= least).select("h")  # exact for the rest: none can have as many as the n-th
+    chosen = rows.withColumn("h", hashed).join(able, "h", "left_semi") if lost < least else rows
+    return chosen.groupBy(resp).agg(F.count("*").alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(n)
 
 
 def diversity(rows: DataFrame, resp: str, marks: tuple[int, int] = (100, 500)) -> DataFrame:
@@ -190,18 +215,21 @@ def verdict(bleu1: Column, val_loss: Column, train_loss: Column, top1: Column, e
     return F.when(F.size(flags) == 0, "OK").otherwise(F.array_join(flags, ","))
 
 
+def lcs(a: list, b: list) -> int:
+    """Length of the longest common subsequence, a row of the table at a time: bit j of `row` is 0 where the row's length grows at b[j]."""
+    where: dict = {}
+    for j, y in enumerate(b):
+        where[y] = where.get(y, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for x in a:
+        if at := row & where.get(x, 0):
+            row = (row + at | row - at) & full
+    return len(b) - row.bit_count()
+
+
 def rouge_l(rows: DataFrame) -> DataFrame:
     """rows (sample_id, hyp, ref: arrays of words) -> sample_id, rouge_l: F1 of the longest common subsequence."""
 
-    def lcs(a: list, b: list) -> int:
-        before = [0] * (len(b) + 1)
-        for x in a:
-            now = [0]
-            for j, y in enumerate(b):
-                now.append(before[j] + 1 if x == y else max(before[j + 1], now[j]))
-            before = now
-        return before[-1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -28,10 +28,13 @@ def labelled(made: DataFrame, cap: int = 500, order: tuple[str, ...] = ("id", "p
 
 
 def labelled_again(df: DataFrame, cap: int, order: tuple[str, ...] = ("id", "pos")) -> DataFrame:
-    """df (with reason) where kept pairs beyond the cap of their response get that label."""
-    kept = F.col("reason") == "kept"
-    rank = F.row_number().over(Window.partitionBy("resp", kept.alias("kept")).orderBy(*order))
-    return df.withColumn("reason", F.when(kept & (rank > cap), "diversity_cap").otherwise(F.col("reason")))
+    """df (with reason) where kept pairs beyond the cap of their response get that label. No task gets more than `cap` pairs of a response from each
+    other one: the cap's last pair is found first and joined back, a join that Spark splits where a response is frequent."""
+    kept, place = F.col("reason") == "kept", F.struct(*order)
+    full = df.filter(kept).select("resp", place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("resp").orderBy("place"))).filter(F.col("rank") <= cap)
+    full = full.groupBy(F.col("resp").alias("full__")).agg(F.max("place").alias("last__"), F.count("*").alias("n__")).filter(F.col("n__") == cap)
+    found = df.join(full, F.col("resp") == F.col("full__"), "left")
+    return found.withColumn("reason", F.when(kept & (place > F.col("last__")), "diversity_cap").otherwise(F.col("reason"))).drop("full__", "last__", "n__")
 
 
 def sentences(made: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import npy
+
 
 def write_pairs(pairs: DataFrame, path: str) -> None:
     """One compact JSON object a line; each task commits its file whole."""
@@ -66,20 +68,5 @@ def append_scalars(rows: DataFrame, path: str) -> None:
 
 
 def write_matrix(matrix: DataFrame, path: str) -> None:
-    """id, vec as rows of files in the NPY format, float32: one part for each task, in order of ids, each with its first id."""
-    import numpy as np
-    import pyarrow as pa
-
-    dim = matrix.select(F.size("vec")).first()[0]
-
-    def run(batches):
-        for batch in batches:
-            ids, rows = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), dtype="<f4").reshape(-1, dim)
-            header = f"{{'descr': '<f4', 'fortran_order': False, 'shape': ({len(rows)}, {dim}), }}"
-            header += " " * (-(len(header) + 11) % 64) + "\n"
-            whole = b"\x93NUMPY\x01\x00" + len(header).to_bytes(2, "little") + header.encode() + rows.tobytes()
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0])], pa.int64()), pa.array([whole], pa.binary())], names=["first", "npy"])
-
-    ordered = matrix.select(F.col("id").cast("long").alias("id"), "vec").repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInArrow(run, "first long, npy binary").write.mode("overwrite").parquet(path)
+    """id, vec as a folder of .npy files, float32, rows in order of ids."""
+    npy.write_npy(matrix, path)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,20 @@ def stage(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a table in the shared folder."""
+    out = scratch(df.sparkSession, name)
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
+def observed(df: DataFrame, path: str, **facts: Column) -> dict:
+    """Writes df and returns facts (aggregates by name) taken in the same pass. Spark takes each partition's once, from the attempt that succeeded."""
+    seen = Observation()
+    df.observe(seen, *[c.alias(k) for k, c in facts.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def cleaned_up(spark: SparkSession, folder: str, names: Iterable[str]) -> list[str]:
     """Removes the named intermediate stages; the names that were there."""
     gone = []
@@ -51,8 +65,10 @@ def cleaned_up(spark: SparkSession, folder: str, names: Iterable[str]) -> list[s
 
 
 def checkpoints(spark: SparkSession, folder: str) -> DataFrame:
-    """name, kind (best, last, step, other), step of the files of a folder; steps are those with a number in the name."""
+    """name, kind (best, last, step, other), step of the files of a folder; steps are those with a number in the name. In order: the best, the last,
+    steps ascending, others by name."""
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
     step = F.regexp_extract("name", r"step_?(\d+)", 1)
     kind = F.when(F.col("name").contains("best"), "best").when(F.col("name").contains("last"), "last").when(step != "", "step").otherwise("other")
-    return files.select("name", kind.alias("kind"), F.when(step != "", step).cast("long").alias("step"))
+    place = F.array_position(F.array(*map(F.lit, ("best", "last", "step", "other"))), F.col("kind"))
+    return files.select("name", kind.alias("kind"), F.when(step != "", step).cast("long").alias("step")).distinct().orderBy(place, "step", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import npy, records
 
 TURNS = "folder string, dialogueID string, date string, `from` string, text string"
 PAIRS = "ctx array<int>, resp array<int>, src_ids array<int>, trg_ids array<int>, _corrupt_record string"
@@ -21,18 +22,18 @@ def largest_csv(spark: SparkSession, folder: str) -> str:
 
 
 def read_turns(spark: SparkSession, path: str, mode: str = "all") -> DataFrame:
-    """id, ord, ts, speaker, text. Malformed rows and rows without speaker, text or dialogue are left out.
+    """id, ord, ts, speaker, text; ord follows files and places in them. Malformed rows and rows without speaker, text or dialogue are left out. Large
+    files are read in many tasks, and bytes that are no UTF-8 are replaced (see `records`).
 
     mode: all files, or the `largest` alone."""
     at = largest_csv(spark, path) if mode == "largest" else path
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("maxCharsPerColumn", -1).option("mode", "DROPMALFORMED").option("enforceSchema", False)
-    names = header.csv(at).columns
-    raw = header.schema(", ".join(f"`{n}` string" for n in names)).csv(at)
-    raw = raw.select(*[(F.col(f"`{f}`") if f in names else F.lit(None).cast("string")).alias(f) for f in ("folder", "dialogueID", "date", "from", "text")])
+    names = spark.read.option("header", True).option("escape", '"').csv(at).columns
+    raw = records.parsed(records.records(spark, at), names)
+    raw = raw.select("ord", *[(F.col(f"`{f}`") if f in names else F.lit(None).cast("string")).alias(f) for f in ("folder", "dialogueID", "date", "from", "text")])
     filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
     kept = raw.filter(filled("from") & filled("text") & filled("dialogueID"))
     key = F.when(filled("folder"), F.concat_ws("/", "folder", "dialogueID")).otherwise(F.col("dialogueID"))
-    return kept.select(key.alias("id"), F.monotonically_increasing_id().alias("ord"), T.parse_date(F.col("date")).alias("ts"), F.trim("from").alias("speaker"), F.trim("text").alias("text"))
+    return kept.select(key.alias("id"), "ord", T.parse_date(F.col("date")).alias("ts"), F.trim("from").alias("speaker"), F.trim("text").alias("text"))
 
 
 def read_pairs(spark: SparkSession, path: str, max_ctx: int = 100, max_resp: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +74,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame | None:
 
 def read_lines(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """at, value: the lines of text files in order, the first `most` alone if given (a bounded scan is the feature)."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(at.alias("at"), "value")
     return lines if most is None else lines.orderBy("at").limit(most)
 
 
@@ -83,26 +85,8 @@ def read_pair_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """id, vec of a matrix written by `sinks.write_matrix`; ids run on from the first of each part."""
-    import io
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, npy in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = np.load(io.BytesIO(npy.as_buffer()))
-                yield pa.RecordBatch.from_arrays([pa.array(range(first, first + len(rows)), pa.int64()), pa.array(list(rows), pa.list_(pa.float32()))], names=["id", "vec"])
-
-    return spark.read.parquet(path).mapInArrow(run, "id long, vec array<float>")
-
-
-def inverted(vocab: DataFrame) -> DataFrame:
-    """One row with to_id (piece to id) and to_piece (id to piece) as maps; a vocabulary is small by its size parameter."""
-    both = vocab.agg(F.array_sort(F.collect_list(F.struct("id", "piece"))).alias("v"))
-    return both.select(F.map_from_entries(F.transform("v", lambda x: F.struct(x["piece"], x["id"]))).alias("to_id"), F.map_from_entries("v").alias("to_piece"))
+    """id, vec of a .npy file, or of a folder of them as `sinks.write_matrix` leaves it; ids run on over its files in order of names."""
+    return npy.read_npy(spark, path)
 
 
 def pieces_of(rows: DataFrame, vocab: DataFrame, key: str, ids: str) -> DataFrame:
