@@ -117,6 +117,43 @@ def merged_turns(spark, sf_dir):
     return dialogue.merged(t.withColumns({"speaker": speaker, "text": text})).select("id", "ord", "speaker", "text")
 
 
+MERGED = "list_reduce(list_transform(t, lambda x, i: case when i = 1 then x else trim(x) end), lambda acc, x: case when x = '' or list_contains(list_transform(string_split(acc, ' '), lambda y: trim(y)), x) then acc else acc || ' ' || x end)"
+UNNAMED = lambda x: f"regexp_replace({x}, {quoted(HIDE_BOTS)}, '__user__', 'g')"  # noqa: E731  the scenes' speakers have names too short to be masked
+CORPUS = (
+    SCENES.replace("{{", "{").replace("}}", "}")
+    + f""", k as (select id, ts, ord, speaker, cleaned from u where id in (select id from r where reason = 'kept')),
+    fi as (select id, case when min(ts) < timestamp '2024-01-02' then 'train' when min(ts) < timestamp '2024-01-05' then 'val' else 'test' end split from k group by id),
+    ki as (select *, case when speaker = lag(speaker) over (partition by id order by ts, ord) then 0 else 1 end fresh from k),
+    kg as (select *, sum(fresh) over (partition by id order by ts, ord) island from ki),
+    kl as (select id, island, list(cleaned order by ts, ord) t from kg group by id, island), km as (select id, island, {MERGED} as text from kl),
+    kf as (select id, row_number() over w - 1 pos, array_to_string(list(text) over (partition by id order by island rows between 8 preceding and 1 preceding), ' __eot__ ') ctx, text resp from km window w as (partition by id order by island)),
+    kh as (select id, pos, {UNNAMED('ctx')} ctx, {UNNAMED('resp')} resp from kf where pos >= 1),
+    kk as (select split, id, pos, ctx, resp, row_number() over (partition by split, resp order by id, pos) nth from kh join fi using (id) where {REASON.replace('> 300', '> 40')} = 'kept'),
+    ks as (select *, row_number() over (order by md5(id || ':' || pos || ':42')) draw from kk where split = 'train' and nth <= 5),
+    made as (select split, id, pos, ctx, resp from ks where draw <= 80 union all select split, id, pos, ctx, resp from kk where split <> 'train') """
+)
+PLAN = corpus.Config(train_until="2024-01-02", val_until="2024-01-05", cap=5, max_train_pairs=80, strategy=None)
+LETTERS = tuple("abcdefghijklmnopqrstuvwxyz0123456789.")
+
+
+@query(CORPUS + "select split, id, pos, md5(ctx) ctx_md5, md5(resp) resp_md5 from made")
+def corpus_pairs(spark, sf_dir):
+    """The whole plan from turns to pairs: dialogues filtered, split, merged, masked, framed, pairs filtered, capped and sampled."""
+    return corpus.corpus(scenes(spark, sf_dir), PLAN).select("split", "id", "pos", F.md5("ctx").alias("ctx_md5"), F.md5("resp").alias("resp_md5"))
+
+
+SPELLED = lambda x: f"flatten(list_transform({WORDS(x)}, lambda w: case when list_contains([{', '.join(map(quoted, bpe.SPECIALS))}], w) then [list_position([{', '.join(map(quoted, bpe.SPECIALS))}], w) - 1] else list_transform(string_split('▁' || w, ''), lambda c: coalesce(list_position([{', '.join(map(quoted, ('▁', *LETTERS)))}], c) + 10, 1)) end))"
+
+
+@query(CORPUS + f", e as (select split, {SPELLED('ctx')} c, {SPELLED('resp')} r from made) select split, md5(array_to_string(c[-100:], ' ')) ctx_md5, md5(array_to_string(list_concat([2], r[1:40], [3]), ' ')) resp_md5, cast(least(len(c), 100) as integer) n_ctx from e")
+def corpus_ids(spark, sf_dir):
+    """The plan's pairs as ids of a vocabulary of letters."""
+    model = bpe.Bpe([*bpe.SPECIALS, bpe.MARK, *LETTERS], [])
+    ids = corpus.encoded(corpus.corpus(scenes(spark, sf_dir), PLAN), model, PLAN)
+    joined = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
+    return ids.select("split", joined("ctx").alias("ctx_md5"), joined("resp").alias("resp_md5"), F.size("ctx").alias("n_ctx"))
+
+
 @query(CLEAN_FRAMED + f", d as (select id, pos, left(resp, 4) resp, ctx, {REASON} reason from p) select id, pos, case when reason = 'kept' and row_number() over (partition by resp, reason = 'kept' order by id, pos) > 1 then 'diversity_cap' else reason end reason from d")
 def pair_reasons_capped(spark, sf_dir):
     """All labels of the pair filter in order, the diversity cap last; here responses count as equal by their first four characters."""

@@ -227,17 +227,23 @@ def rewritten(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return words.mapInArrow(run, "parts array<string>, n long").filter(F.size("parts") > 1)
 
 
-def encoded(rows: DataFrame, model: Bpe, column: str, key: str) -> DataFrame:
-    """key, ids."""
+def encoded_all(rows: DataFrame, model: Bpe, columns: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """keep, and the ids of each text column, under its name. Each task has a table of the words that it has segmented."""
     pieces, merges = model.pieces, model.merges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Bpe(pieces, merges)
         for batch in batches:
-            ids = [own.encode(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])
+            ids = [pa.array([own.encode(t or "") for t in batch.column(len(keep) + i).to_pylist()], pa.list_(pa.int32())) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *ids], names=[*keep, *columns])
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + [f"`{c}` array<int>" for c in columns]
+    return rows.select(*keep, *columns).mapInArrow(run, ", ".join(kinds))
 
-    return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, ids array<int>")
+
+def encoded(rows: DataFrame, model: Bpe, column: str, key: str) -> DataFrame:
+    """key, ids."""
+    return encoded_all(rows, model, (column,), (key,)).withColumnRenamed(column, "ids")
 
 
 def integrity(model: Bpe, tags: tuple[str, ...] = SPECIALS) -> list[tuple[str, int, bool]]:

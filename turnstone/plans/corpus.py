@@ -59,7 +59,5 @@ def corpus(turns: DataFrame, c: Config = Config()) -> DataFrame:
 
 def encoded(made: DataFrame, model: bpe.Bpe, c: Config = Config()) -> DataFrame:
     """split, ctx, resp as ids: the context's last ids, the response's first between begin and end."""
-    df = made.withColumn("key", F.concat_ws(":", "id", "pos"))
-    ctx = bpe.encoded(df, model, "ctx", "key").withColumnRenamed("ids", "c")
-    resp = bpe.encoded(df, model, "resp", "key").withColumnRenamed("ids", "r")
-    return df.select("key", "split").join(ctx, "key").join(resp, "key").select("split", A.tail(F.col("c"), c.max_ctx_ids).alias("ctx"), A.framed(F.col("r"), c.max_resp).alias("resp"))
+    ids = bpe.encoded_all(made, model, ("ctx", "resp"), ("split",))
+    return ids.select("split", A.tail(F.col("ctx"), c.max_ctx_ids).alias("ctx"), A.framed(F.col("resp"), c.max_resp).alias("resp"))
