@@ -299,9 +299,9 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is their component's smallest; of rows with equal ids, one stays. Rows without an id stay.
 
-    Only rows with an id of several are compared by it, so that texts of the others need no sort."""
-    found = cut(components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n")).filter("first = 1").select("doc_id", "n"))
-    single = written(found.filter("n = 1").select("doc_id"), "single")
-    kept = docs.join(single, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id is null"))
-    repeated = found.filter("n > 1").select("doc_id")
+    The ids that go are joined, not those that stay, which are many more. Only rows with an id of several are compared by it, so that texts of the
+    others need no sort."""
+    found = cut(components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n")).filter("first = 0 or n > 1"))
+    kept = docs.join(written(found.select("doc_id"), "gone"), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("first = 1").select("doc_id")
     return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
