@@ -6,7 +6,7 @@ diagonal, and around each diagonal a banded alignment of the template's words wi
 template's words are matched, and where.
 
 Defined results: a null or empty text, or one without a match, gives one row with no license; matches of one template that
-overlap are reported once, by the better; a match within one of more matched words (an opening in its text, GPL in LGPL) is
+overlap are reported once, by the better; a text of which fewer than one in 50 words begins a known triple near a diagonal is none; a match within one of more matched words (an opening in its text, GPL in LGPL) is
 left out; a template of fewer than three words is looked up whole, one without words never matches; repeated rows have equal results; an empty table gives no rows; other columns are
 ignored.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 
 TOKEN = re.compile(r"\w+")
 GRAM, WINNOW, BAND, LEAST = 3, 2, 8, 0.75
+#: Words of a template for each of which a hit near the diagonal is needed. With a quarter of the words wrong, one in four is left if they are wrong at random.
+FEW = 50
 #: Notices and opening texts of common licenses.
 TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -107,14 +109,17 @@ def scan(text: str | None, tokens: dict, index: dict, sizes: tuple[int, ...] = (
     if not hits:
         return []
     votes: dict[str, dict[int, int]] = defaultdict(dict)  # a template's diagonals: the last place of a hit
+    each: dict[str, list[int]] = defaultdict(list)  # the diagonals of all hits
     for i, places in hits:
         for name, at in places:
             votes[name][i - at] = max(i, votes[name].get(i - at, 0))
+            each[name].append(i - at)
     found, held = [], Counter(words)
     for name, last in votes.items():
         need = LEAST * len(tokens[name])
         if sum(min(n, held[w]) for w, n in Counter(tokens[name]).items()) < need:
             continue  # no alignment can match more
+        each[name].sort()
         shifts, end, seen = sorted(last), -1, None  # seen: up to which diagonal hits were in the band of an alignment that failed
         for shift in shifts:
             if last[shift] <= end:
@@ -124,6 +129,8 @@ def scan(text: str | None, tokens: dict, index: dict, sizes: tuple[int, ...] = (
                 continue
             skip = end + 1  # copies may follow closely: what is matched is not matched again
             for centre in (shift, shift + BAND) if highest > shift + BAND else (shift,):  # the second where a text drifts out of the first's band
+                if (bisect_right(each[name], centre + BAND) - bisect_left(each[name], centre - BAND)) * FEW < len(tokens[name]):
+                    continue
                 n, first, stop = aligned(tokens[name], words[skip:], centre - skip)
                 if n >= need and stop - first < len(tokens[name]) + 2 * BAND:
                     end, seen = max(end, stop + skip), None
