@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnstone import catalog
+from turnstone import catalog, catalog_reports  # noqa: F401  the second adds its queries to the first's
 from turnstone.functions import text as T
 from turnstone.operators import bpe, decoding, metrics, pairs
 from turnstone.plans import corpus
@@ -137,3 +137,10 @@ def test_open_sessions_are_not_lost(spark, tmp_path):
 
 def test_repetition_is_judged_on_the_cleaned_text(spark):
     assert spark.createDataFrame([("go! go? go stop it",)], "t string").select(T.is_repetitive(T.clean(F.col("t")))).first()[0]
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    rows = [(i, 0, "user", f"Text {i}") for i in range(20)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["stream_clean_text"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(i, 0, f"text {i}") for i in range(20)]

@@ -781,7 +781,7 @@ def stream_clean_text(spark, sf_dir):
     """Cleaning of a stream of turns."""
     out = stages.scratch(spark, "cleaned")
     source = table(spark, sf_dir, "conversations")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(source.schema).parquet(sessions.watched(f"{sf_dir}/conversations.parquet"))
     done = sessions.cleaned(stream).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(source.schema).parquet(f"{out}/rows").select("conv_id", "turn", F.col("text").alias("clean"))

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+def watched(path: str) -> str:
+    """The path of a table, one file or a folder of files, as a stream takes both: a pattern that fits it alone (a plain path must be a folder)."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    return spark.readStream.schema(schema).parquet(watched(f"{folder}/{name}")).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def session_counts(events: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataFrame:
