@@ -172,3 +172,14 @@ def test_corpus_plan(spark):
     model = bpe.learn(turns, "text", 100)
     ids = corpus.encoded(corpus.corpus(turns), model).collect()
     assert all(r["resp"][0] == 2 and r["resp"][-1] == 3 for r in ids) and len(ids) == 4
+
+
+def test_word_boundaries_are_those_of_sql(spark, tmp_path):
+    texts = ["doña is", "canón ls", "éhow do you", "how do youé", "ls", "élsé ubottué", "an è1.2.3.4é b", "xñexample.com", "what isß", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["question_signals"](spark, str(tmp_path)).select("pattern", "n").collect()
+    assert plain(got) == plain(c.execute(f"select pattern, n from ({catalog.ORACLES['question_signals']})").fetchall())
+    x = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.clean(F.col("text")), T.is_command(F.col("text")), T.mask_bots(F.col("text")))
+    assert plain(x.collect()) == plain(c.execute(f"select doc_id, {catalog.sql_clean('text')}, {catalog.CMD('text')}, regexp_replace(text, {catalog.quoted(catalog_reports.HIDE_BOTS)}, '__user__', 'g') from documents").fetchall())

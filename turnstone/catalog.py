@@ -204,7 +204,8 @@ def domain_stats(spark, sf_dir):
 
 @query("select pattern, n from (select " + ", ".join(f"count(case when regexp_matches(text, {quoted(p)}) then 1 end) {k}" for k, p in fixed.QUESTIONS.items()) + " from documents) unpivot (n for pattern in (" + ", ".join(fixed.QUESTIONS) + "))")
 def question_signals(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").agg(*[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in fixed.QUESTIONS.items()])
+    asked = table(spark, sf_dir, "documents").select(T.ascii_only(F.col("text")).alias("text"))
+    df = asked.agg(*[F.count_if(F.col("text").rlike(p)).alias(k) for k, p in fixed.QUESTIONS.items()])
     return df.unpivot([], list(fixed.QUESTIONS), "pattern", "n")
 
 

@@ -54,7 +54,7 @@ def encoded_stats(made: DataFrame) -> DataFrame:
 
 def signals(made: DataFrame) -> DataFrame:
     """signal, n, pct: what fires the command filter, in contexts and responses."""
-    fires = {"cmd_in_ctx": F.col("ctx").rlike(T.command_pattern()), "path_in_ctx": F.col("ctx").contains("__path__"), "cmd_in_resp": F.col("resp").rlike(T.command_pattern()), "path_in_resp": F.col("resp").contains("__path__")}
+    fires = {"cmd_in_ctx": T.ascii_only(F.col("ctx")).rlike(T.command_pattern()), "path_in_ctx": F.col("ctx").contains("__path__"), "cmd_in_resp": T.ascii_only(F.col("resp")).rlike(T.command_pattern()), "path_in_resp": F.col("resp").contains("__path__")}
     row = made.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in fires.items()])
     return row.unpivot(["total"], list(fires), "signal", "n").select("signal", "n", F.round(100.0 * F.col("n") / F.greatest("total", F.lit(1)), 1).alias("pct"))
 
