@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from turnstone import catalog, catalog_reports  # noqa: F401  the second adds its queries to the first's
 from turnstone.functions import text as T
-from turnstone.operators import bpe, decoding, metrics, pairs
+from turnstone.operators import bpe, decoding, dialogue, metrics, pairs
 from turnstone.plans import corpus
 from turnstone.sources import stages
 from turnstone.streaming import sessions
@@ -144,3 +144,11 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["stream_clean_text"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(i, 0, f"text {i}") for i in range(20)]
+
+
+def test_corpus_plan_makes_each_stage_once(spark):
+    turns = catalog_reports.scenes(spark, "/root/testdata/sf0.001")
+    files = corpus.corpus(turns, catalog_reports.PLAN).inputFiles()
+    assert files and all("/pairs-" in f for f in files)  # nothing is made again from turns
+    plan = dialogue.usable(turns)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__url__") == 1  # each text is cleaned once

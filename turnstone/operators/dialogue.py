@@ -20,7 +20,8 @@ def usable(turns: DataFrame) -> DataFrame:
     """Turns that are not by bots, actions, pastes, repetitive or empty once cleaned; speakers lower-cased, texts cleaned."""
     speaker, raw = F.lower(F.trim("speaker")), F.trim("text")
     kept = turns.filter(~speaker.isin(*fixed.BOTS) & ~raw.rlike(fixed.ACTION) & ~T.is_paste(raw))
-    return kept.withColumns({"speaker": speaker, "text": T.clean(raw)}).filter((F.col("text") != "") & ~T.is_repetitive(F.col("text")))
+    kept = kept.withColumn("speaker", speaker).withColumn("text", F.explode(F.array(T.clean(raw))))  # one row each; filters are not pushed below, so each text is cleaned once
+    return kept.filter((F.col("text") != "") & ~T.is_repetitive(F.col("text")))
 
 
 def shape(turns: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The dialogue corpus from raw turns to encoded pairs: one lazy plan, written at its ends."""
+"""The dialogue corpus from raw turns to encoded pairs: a few tables, each made once."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import bpe, dialogue, pairs
+from ..sources import stages
 
 
 @dataclass(frozen=True)
@@ -33,24 +34,24 @@ class Config:
 
 
 def dialogues(turns: DataFrame, c: Config = Config()) -> tuple[DataFrame, DataFrame]:
-    """(kept turns, reason by id). Rules in order: dates, turns, speakers, dominance, alternation, gaps."""
-    dated = turns.filter("ts is not null")
-    dates = dated.groupBy("id").agg(F.count("*").alias("n_dated"))
-    clean = dialogue.usable(dated).withColumn("ord", F.struct("ts", "ord"))  # in time, and as given among equal times
-    facts = turns.select("id").distinct().join(dates, "id", "left").join(dialogue.shape(clean), "id", "left").join(dialogue.gaps(clean.select("id", "ts"), c.hard_gap, c.soft_gap).select("id", F.col("reason").alias("gap_reason")), "id", "left")
+    """(kept turns, reason by id). Rules in order: dates, turns, speakers, dominance, alternation, gaps. Usable turns and reasons are made once, as tables."""
+    dates = turns.groupBy("id").agg(F.count("ts").alias("n_dated"))
+    clean = dialogue.usable(turns.filter("ts is not null")).withColumn("ord", F.struct("ts", "ord"))  # in time, and as given among equal times
+    clean = stages.kept(clean, "usable")
+    facts = dates.join(dialogue.shape(clean), "id", "left").join(dialogue.gaps(clean.select("id", "ts"), c.hard_gap, c.soft_gap).select("id", F.col("reason").alias("gap_reason")), "id", "left")
     shape = F.coalesce(dialogue.reason(c.min_turns, c.dominance, c.alternation), F.lit("too_few_turns"))
-    reason = F.when(F.coalesce("n_dated", F.lit(0)) < 2, "too_few_valid_dates").when(F.col("n").isNull(), "too_few_turns").when(shape != "kept", shape).otherwise(F.coalesce("gap_reason", F.lit("kept")))
-    reasons = facts.select("id", reason.alias("reason"))
+    reason = F.when(F.col("n_dated") < 2, "too_few_valid_dates").when(F.col("n").isNull(), "too_few_turns").when(shape != "kept", shape).otherwise(F.coalesce("gap_reason", F.lit("kept")))
+    reasons = stages.kept(facts.select("id", reason.alias("reason")), "reasons")
     return clean.join(reasons.filter("reason = 'kept'").select("id"), "id", "left_semi"), reasons
 
 
 def corpus(turns: DataFrame, c: Config = Config()) -> DataFrame:
-    """split, id, pos, ctx, resp."""
+    """split, id, pos, ctx, resp. Merged turns and kept pairs, which are read more than once, are made once, as tables."""
     kept, _ = dialogues(turns, c)
     splits = dialogue.split_by_first(kept, c.train_until, c.val_until).select("id", "split")
-    merged = dialogue.merged(kept.select("id", "ord", "speaker", "text"))
+    merged = stages.kept(dialogue.merged(kept.select("id", "ord", "speaker", "text")), "merged")
     made = pairs.masked(pairs.framed(merged, c.frame), merged).join(splits, "id")
-    made = made.filter(pairs.discard_reason(c.min_ctx, c.min_resp, c.max_resp, c.coherence) == "kept")
+    made = stages.kept(made.filter(pairs.discard_reason(c.min_ctx, c.min_resp, c.max_resp, c.coherence) == "kept"), "pairs")
     train = pairs.capped(made.filter("split = 'train'"), c.cap)
     train = pairs.sampled(train.withColumn("key", F.concat_ws(":", "id", "pos")), "key", c.max_train_pairs).drop("key")
     out = train.unionByName(made.filter("split <> 'train'"))
