@@ -152,3 +152,17 @@ def test_corpus_plan_makes_each_stage_once(spark):
     assert files and all("/pairs-" in f for f in files)  # nothing is made again from turns
     plan = dialogue.usable(turns)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("__url__") == 1  # each text is cleaned once
+
+
+def test_word_vectors_are_learned_in_many_tasks(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    seen, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: seen.append(self.getNumPartitions()) or fit(self, df))
+    words = [[f"{'ab'[i % 2]}{j % 5}" for j in range(i, i + 12)] for i in range(400)]  # two groups of words that never meet
+    rows = spark.createDataFrame([(w,) for w in words], "w array<string>")
+    vec = {r["piece"]: r["vec"] for r in bpe.word_vectors(rows, "w", dim=8, epochs=3).collect()}
+    assert seen == [spark.sparkContext.defaultParallelism] and seen[0] > 1
+    assert sorted(vec) == sorted(f"{g}{j}" for g in "ab" for j in range(5)) and all(len(v) == 8 and all(map(math.isfinite, v)) for v in vec.values())
+    near = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b])) / math.hypot(*vec[a]) / math.hypot(*vec[b])
+    assert near("a0", "a1") > near("a0", "b1")
