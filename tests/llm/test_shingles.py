@@ -91,3 +91,42 @@ def test_pipeline_equals_brute_force_with_jaccard(spark):
         ids = model.encode(rows[i][1], add_bos=True, add_eos=True)
         want += [(rows[i][0], len(ids), hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())] * n
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(want)
+
+
+def shuffled_bytes(spark):
+    """By stage, of all stages so far."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    none = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(none, False, False, gateway.new_array(jvm.double, 0), none)
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_near_duplicates_shuffle_only_texts_that_are_likely_needed(spark):
+    rng, threshold = np.random.default_rng(5), "spark.sql.autoBroadcastJoinThreshold"
+    text = lambda: rng.bytes(16_000).hex(" ", 8)  # noqa: E731  2,000 random words
+    rows = [(i, text()) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(4)] + [(2000 + i, rows[8 + i][1] + " x") for i in range(4)] + [(7, rows[7][1]), (None, rows[7][1]), (None, "a")]
+    docs, before, old = spark.createDataFrame(rows, "doc_id long, text string"), shuffled_bytes(spark), spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # as with tables too large to broadcast
+    try:
+        got = [r["doc_id"] for r in shingles.keep_one_per_component(docs).collect()]
+    finally:
+        spark.conf.set(threshold, old)
+    assert sorted(i for i in got if i is not None) == list(range(300)) and got.count(None) == 2
+    moved = sum(n for k, n in shuffled_bytes(spark).items() if k not in before)
+    assert 0 < moved < sum(len(t) for _, t in rows) / 4
+
+
+def test_likely_misses_no_key(spark, monkeypatch):
+    from turnstone.llm import common
+
+    for most in (2048, 1):  # one bitmap for all keys: more by chance
+        monkeypatch.setattr(common, "BITMAPS", most)
+        keys = spark.range(0, 30_000, 3).select(F.col("id").cast("string").alias("k"))
+        df = spark.range(30_000).select(F.when(F.col("id") > 0, F.col("id").cast("string")).alias("k"), F.lit(1).alias("a.b"))
+        got = common.likely(df, "k", keys)
+        assert got.columns == ["k", "a.b", "likely__"] and got.count() == 30_000
+        found = {r["k"] for r in got.filter("likely__").collect()}
+        assert {str(i) for i in range(3, 30_000, 3)} <= found
+        assert len(found) < (10_000 + 20_000 / 16 if most > 1 else 20_000)
+    assert common.likely(df, "k", keys.limit(0)).filter("likely__").count() == 0

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, likely, written
 from .simhash import BITS, SEED, connected, walk
 
 WIDTH = 5
@@ -104,13 +104,15 @@ def postings_of(held: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, set: its sorted shingles as bytes) of the wanted (t, c)."""
+    """(c, set: its sorted shingles as bytes) of the wanted (t, c), one row for each t. Only texts that are likely wanted are joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["c", "set"])
 
-    texts = docs.select(text_key(F.col("text")).alias("t"), "text").join(written(wanted, "wanted"), "t").dropDuplicates(["c"])
+    wanted = written(wanted, "wanted")
+    texts = likely(docs.select(text_key(F.col("text")).alias("t"), "text"), "t", wanted).filter("likely__").drop("likely__")
+    texts = texts.join(wanted, "t").dropDuplicates(["t"])
     return texts.select("c", "text").mapInArrow(run, "c long, set binary")
 
 
@@ -299,9 +301,14 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of docs whose id is their component's smallest; of rows with equal ids, one stays. Rows without an id stay.
 
-    The ids that go are joined, not those that stay, which are many more. Only rows with an id of several are compared by it, so that texts of the
-    others need no sort."""
+    The ids that go are joined, not those that stay, which are many more, and only with rows that likely go; the others' texts are not shuffled.
+    Only rows with an id of several are compared by it, so that texts of the others need no sort."""
     found = cut(components(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("first"), F.count("*").alias("n")).filter("first = 0 or n > 1"))
-    kept = docs.join(written(found.select("doc_id"), "gone"), "doc_id", "left_anti").select(docs.columns)
+    gone = written(found.select("doc_id"), "gone")
+    flagged = likely(docs, "doc_id", gone)
+    kept = flagged.filter("not likely__").select(docs.columns).unionByName(flagged.filter("likely__").join(gone, "doc_id", "left_anti").select(docs.columns))
     repeated = found.filter("first = 1").select("doc_id")
-    return kept if repeated.isEmpty() else kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    if repeated.isEmpty():
+        return kept
+    same = likely(docs, "doc_id", repeated).filter("likely__").join(repeated, "doc_id", "left_semi")
+    return kept.unionByName(same.dropDuplicates(["doc_id"]).select(docs.columns))
