@@ -1,5 +1,7 @@
 """Operators on hand-built rows, with values reasoned from their rules, and every query against its SQL."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +185,32 @@ def test_word_boundaries_are_those_of_sql(spark, tmp_path):
     assert plain(got) == plain(c.execute(f"select pattern, n from ({catalog.ORACLES['question_signals']})").fetchall())
     x = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", T.clean(F.col("text")), T.is_command(F.col("text")), T.mask_bots(F.col("text")))
     assert plain(x.collect()) == plain(c.execute(f"select doc_id, {catalog.sql_clean('text')}, {catalog.CMD('text')}, regexp_replace(text, {catalog.quoted(catalog_reports.HIDE_BOTS)}, '__user__', 'g') from documents").fetchall())
+
+
+def epoch_batches(spark, path, rows, parts):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "event_id long, user_id long, day int, value double").repartition(parts)
+    df.withColumn("ts", F.expr("make_timestamp_ntz(2024, 1, day, 1, 0, 0)")).drop("day").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_best_epoch_equals_sql_on_odd_losses(spark, tmp_path):
+    nan, inf = math.nan, math.inf
+    epochs = {
+        (1, 3): [None, None], (1, 4): [2.0, None, 4.0], (2, 3): [None], (3, 1): [nan, 1.0], (3, 2): [5.0], (4, 1): [nan], (5, 1): [inf, 1.0], (5, 2): [7.5], (6, None): [1.0], (6, 2): [2.0],
+        (None, 1): [3.0], (None, 2): [2.5], (7, 1): [1e-25, 3e-25], (7, 2): [1e-25], (8, 1): [1e25, 3e25], (8, 2): [1.5e25], (9, 1): [1e19, 9e19, 9e19], (9, 2): [8e19], (10, 1): [-inf], (10, 2): [0.0],
+    }
+    folder = epoch_batches(spark, tmp_path, [(m, d, v) for (m, d), values in epochs.items() for v in values], 3)
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{folder}/events.parquet/*.parquet'")
+    got = catalog.QUERIES["best_epoch"](spark, folder)
+    assert plain(map(tuple, got.collect())) == plain(c.execute(catalog.ORACLES["best_epoch"]).fetchall())
+
+
+@pytest.mark.parametrize("parts", (1, 3, 8))
+def test_best_epoch_is_the_first_of_equal_means_in_any_order(spark, tmp_path, parts):
+    rows = []
+    for m in range(100):  # the second epoch's losses lie in pairs around the first's only one
+        steps = [(m * 37 + i * 101) % 900 for i in range(20)]
+        rows += [(m, 1, (1000 + m) / 100)] + [(m, 2, (1000 + m + sign * k) / 100) for k in steps for sign in (1, -1)]
+    got = catalog.QUERIES["best_epoch"](spark, epoch_batches(spark, tmp_path, rows, parts)).collect()
+    assert sorted(map(tuple, got)) == [(m, 1, (1000 + m) / 100) for m in range(100)]

@@ -522,7 +522,8 @@ def loss_by_epoch(spark, sf_dir):
 
 @query("with m as (select user_id model, extract(day from ts) epoch, avg(value) loss from events group by all) select model, cast(min_by(epoch, loss) as integer) best_epoch, round(min(loss), 6) best_loss from m group by model")
 def best_epoch(spark, sf_dir):
-    losses = metrics.epoch_losses(table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.dayofmonth("ts").alias("epoch"), F.col("value").alias("loss")))
+    batches = table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.dayofmonth("ts").alias("epoch"), "value")
+    losses = batches.groupBy("model", "epoch").agg(metrics.exact_mean(F.col("value")).alias("mean_loss"))
     return metrics.best_epochs(losses).withColumn("best_loss", F.round("best_loss", 6))
 
 

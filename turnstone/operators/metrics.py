@@ -181,10 +181,18 @@ def epoch_losses(batches: DataFrame) -> DataFrame:
     return batches.groupBy("model", "epoch").agg(mean.alias("mean_loss")).withColumn("perplexity", F.exp(F.least("mean_loss", F.lit(20.0))))
 
 
+def exact_mean(x: Column) -> Column:
+    """The mean of a group's doubles, whatever order they come in: sums of doubles depend on it, which would decide between equal means. Values are
+    added as decimals if those of 18 places hold each of them; else, and for groups that these can't hold, it is the mean of doubles."""
+    d = x.try_cast("decimal(38, 18)")
+    exact = F.try_sum(d) / F.count(x).cast("decimal(18, 0)")
+    return F.when(F.every(F.coalesce(d.cast("double") == x, x.isNull())), F.coalesce(exact.cast("double"), F.avg(x))).otherwise(F.avg(x))
+
+
 def best_epochs(losses: DataFrame) -> DataFrame:
-    """model, best_epoch, best_loss: the first epoch of the least loss."""
-    best = F.min(F.struct("mean_loss", "epoch"))
-    return losses.groupBy("model").agg(best.alias("b")).select("model", F.col("b.epoch").alias("best_epoch"), F.col("b.mean_loss").alias("best_loss"))
+    """model, best_epoch, best_loss: the first epoch of the least loss. Epochs without a loss and losses without an epoch name none."""
+    best = F.min(F.when(F.col("mean_loss").isNotNull() & F.col("epoch").isNotNull(), F.struct("mean_loss", "epoch")))
+    return losses.groupBy("model").agg(best["epoch"].alias("best_epoch"), F.min("mean_loss").alias("best_loss"))
 
 
 #: What is worth a flag in the statistics of a stage: metric, side of the limit that is flagged, limit, flag.
