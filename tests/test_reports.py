@@ -166,3 +166,18 @@ def test_word_vectors_are_learned_in_many_tasks(spark, monkeypatch):
     assert sorted(vec) == sorted(f"{g}{j}" for g in "ab" for j in range(5)) and all(len(v) == 8 and all(map(math.isfinite, v)) for v in vec.values())
     near = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b])) / math.hypot(*vec[a]) / math.hypot(*vec[b])
     assert near("a0", "a1") > near("a0", "b1")
+
+
+def test_query_of_word_vectors_returns_what_was_learned(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    seen, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, df: seen.append((self.getVectorSize(), self.getMaxIter())) or fit(self, df))
+    groups = ("apple pear plum cherry grape", "wheel brake pedal chain saddle")  # words that never meet
+    rows = [(i, 0, "user", " ".join((groups[i % 2].split() * 4)[i % 5 : i % 5 + 12])) for i in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    vec = {r["piece"]: r["vec"] for r in catalog.QUERIES["word2vec_vectors"](spark, str(tmp_path)).collect()}
+    assert seen == [(300, 10)]
+    assert sorted(vec) == sorted(bpe.MARK + w for g in groups for w in g.split()) and all(len(v) == 300 and all(map(math.isfinite, v)) for v in vec.values())
+    near = lambda a, b: sum(x * y for x, y in zip(vec[a], vec[b])) / math.hypot(*vec[a]) / math.hypot(*vec[b])
+    assert near("▁apple", "▁pear") > near("▁apple", "▁wheel") and near("▁wheel", "▁brake") > near("▁plum", "▁brake")
